@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("reading",)
+MODULES = ("reading", "ranking", "ledger", "quality", "columns")
 
 
 def load() -> SimpleNamespace:

@@ -20,7 +20,7 @@ def scatter_sql(i: str, seed: str) -> str:
 
 def price_sql(model: str, side: int) -> str:
     cases = " ".join(f"WHEN starts_with({model}, '{p}') THEN {v[side]}" for p, v in K.PRICES.items())
-    return f"(CASE {cases} ELSE {K.DEAREST_PRICE[side]} END)"
+    return f"CAST(CASE {cases} ELSE {K.DEAREST_PRICE[side]} END AS DOUBLE)"
 
 
 def cost_sql(model: str, tin: str, tout: str) -> str:
