@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("reading", "ranking", "ledger", "quality", "columns", "sinks", "streams")
+MODULES = ("reading", "ranking", "ledger", "quality", "columns", "sinks", "streams", "matching")
 
 
 def load() -> SimpleNamespace:
