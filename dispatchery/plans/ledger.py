@@ -170,12 +170,14 @@ def p20(a):
 
 @query("f9_price_lookup", f"""
     SELECT id, round({price_sql("model || '-x'", 0)}, 6) AS price_in, round({price_sql("substr(model, 1, 7)", 1)}, 6) AS other,
-      round(est_cost_usd, 6) AS est_cost_usd FROM summaries""")
+      round(est_cost_usd, 8) AS est_cost_usd FROM summaries""")
 def f9(a):
     from dispatchery.functions.money import price
     longer = F.concat(F.col("model"), F.lit("-x"))
     return a.summaries.select("id", price(longer, 0).alias("price_in"),
-                              price(F.substring("model", 1, 7), 1).alias("other"), r6("est_cost_usd").alias("est_cost_usd"))
+                              price(F.substring("model", 1, 7), 1).alias("other"),
+                              # Whole tokens at prices of two decimals: exact at eight places, so no ties.
+                              F.round("est_cost_usd", 8).alias("est_cost_usd"))
 
 
 @query("f10_token_estimate", f"""
