@@ -155,7 +155,7 @@ TIDY = "substr(regexp_replace(" + SQUEEZE + ", '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$'
 
 def sided_bodies(a):
     """Feed text for two of three articles, a page text for two of five, a search hit for all."""
-    art = a.articles
+    art = a.bodies
     feed = art.where("id % 3 <> 0").select("id", text.tidy_body(F.col("body_text")).alias("feed_text"))
     page = art.where("id % 5 < 2").select("id", text.tidy_body(F.concat(F.col("body_text"), F.lit(" "), F.col("title"))).alias("page_text"))
     hit = art.select("id", F.concat(F.lit("hit "), F.col("title")).alias("found_text"))

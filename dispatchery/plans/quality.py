@@ -26,7 +26,7 @@ def tokens_sql(col: str) -> str:
 
 
 def stories(a):
-    return quality.story_rows(reading.day_stories(a.bulletins, a.items, a.summaries), a.articles)
+    return quality.story_rows(reading.day_stories(a.bulletins, a.items, a.summaries), a.bodies)
 
 
 def light(a):
@@ -41,12 +41,12 @@ FULL = f"SELECT q.bulletin_id, q.position, s.* FROM ({DAY_STORIES}) q JOIN summa
 @query("f1_numeral_values")
 def f1(a):
     """The figures of every whole text."""
-    return a.articles.select("id", F.array_join(numeral_values(F.col("body_text")), ",").alias("numerals"))
+    return a.bodies.select("id", F.array_join(numeral_values(F.col("body_text")), ",").alias("numerals"))
 
 
 @query("f2_capitalised_tokens")
 def f2(a):
-    return a.articles.select("id", F.array_join(capitalised_tokens(F.col("body_text")), " ").alias("names"))
+    return a.bodies.select("id", F.array_join(capitalised_tokens(F.col("body_text")), " ").alias("names"))
 
 
 @query("f3_content_tokens", f"""
@@ -54,7 +54,7 @@ def f2(a):
     WHERE len({tokens_sql("body_text")}) > 0""")
 def f3(a):
     found = content_tokens(F.col("body_text"))
-    return a.articles.select("id", F.array_sort(found).alias("t")).where(F.size("t") > 0).select(
+    return a.bodies.select("id", F.array_sort(found).alias("t")).where(F.size("t") > 0).select(
         "id", F.array_join("t", " ").alias("tokens"))
 
 
@@ -106,7 +106,7 @@ def a17_facts(a):
 def a18(a):
     """Every story with a figure added to its summary that only every other body holds."""
     n = F.col("id").cast("string")
-    bodies = a.articles.withColumn("body_text", F.concat(
+    bodies = a.bodies.withColumn("body_text", F.concat(
         F.col("body_text"), F.lit(" It cost $"), F.when(F.col("id") % 2 == 0, n).otherwise(F.lit("7")), F.lit(" million.")))
     dressed = reading.day_stories(a.bulletins, a.items, a.summaries).withColumn(
         "summary", F.concat(F.col("summary"), F.lit(" Fiyat "), n, F.lit(" milyon.")))
@@ -210,7 +210,7 @@ def a25(a):
     sides = a.summaries.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumns({
         "summary": F.when(F.col("side") == "a", F.col("summary")).otherwise(F.substring("summary", 1, 150)),
         "position": F.lit(None).cast("int")})
-    answered = quality.story_rows(sides.where("side = 'a' OR id % 13 <> 0"), a.articles)
+    answered = quality.story_rows(sides.where("side = 'a' OR id % 13 <> 0"), a.bodies)
     spent = sides.groupBy("side").agg(
         F.count_if((F.col("side") == "b") & (F.col("id") % 13 == 0)).alias("failures"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),

@@ -42,3 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from what was written."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, shuffled evenly where its scan has fewer splits than there are cores.
+
+    For work that is heavy per row, on inputs of a few files; a large input comes in many splits
+    and is passed on as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -17,7 +17,7 @@ from dispatchery.functions.hashing import content_hash, scatter
 from dispatchery.functions.money import cost
 from dispatchery.functions.text import literal_array
 from dispatchery.operators import ranking
-from dispatchery.session import cut
+from dispatchery.session import cut, spread
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 MODELS = tuple(K.PRICES)
@@ -89,6 +89,11 @@ class Archive:
             ).alias("url"),
         )
 
+    @cached_property
+    def bodies(self) -> DataFrame:
+        """Articles for work that reads whole texts."""
+        return spread(self.articles)
+
     @cached_property
     def marked_articles(self) -> DataFrame:
         """Articles with `dup_of`: the first id that carried the very same title."""
