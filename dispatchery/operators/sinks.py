@@ -9,6 +9,7 @@ from dispatchery import constants as K
 from dispatchery.functions.calendar import local_day
 from dispatchery.functions.text import present, strip
 from dispatchery.operators.curation import days, insert_if_absent
+from dispatchery.operators.numbering import numbered
 from dispatchery.operators.ranking import band
 
 
@@ -171,16 +172,16 @@ def rebuild_bulletins(runs: DataFrame, ranked: DataFrame) -> tuple[DataFrame, Da
     """Bulletins and items from ranked history.
 
     `runs` (run_id, language, started_at) that wrote summaries; `ranked` (run_id, summary_id, rank).
-    Versions count up inside a local day and language; ids follow the start of the runs. The runs
-    of one local day are few, and ids come from a two-level numbering.
+    Versions count up inside a local day and language; ids follow the start of the runs.
     """
-    from dispatchery.operators.numbering import numbered
-
-    per_day = Window.partitionBy("day", "language").orderBy("started_at", "run_id")
-    dated = runs.withColumn("day", local_day(F.col("started_at"))).withColumn("version", F.row_number().over(per_day))
+    dated = numbered(
+        runs.withColumn("day", local_day(F.col("started_at"))), ["day", "language"],
+        [F.asc("started_at"), F.asc("run_id")], [F.date_trunc("minute", "started_at")],
+        "version",
+    )
     numbered_runs = numbered(
         dated.withColumn("_all", F.lit(0)), ["_all"], [F.asc("started_at"), F.asc("run_id")],
-        [F.date_trunc("day", "started_at")], "id",
+        [F.date_trunc("hour", "started_at")], "id",
     ).drop("_all")
     places = numbered(
         ranked.where(F.col("rank").isNotNull()), ["run_id"], [F.asc("rank"), F.asc("summary_id")],
