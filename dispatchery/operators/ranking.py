@@ -121,21 +121,23 @@ def valid_picks(
 
 def borda(picks: DataFrame, keys: list[str], quorum: int = K.QUORUM) -> DataFrame:
     """(keys, summary_id, score, seen, best, position): points per place, kept by quorum."""
-    sizes = picks.groupBy(*keys, "pass").agg(F.count(F.lit(1)).alias("size"))
-    floors = sizes.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(quorum)).alias("floor"))
+    # A group is a few short readings, so one shuffle by its keys serves both counts, the scores and
+    # the order.
+    sized = picks.withColumn(
+        "passes", F.size(F.collect_set("pass").over(Window.partitionBy(*keys)))
+    ).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "pass")))
     scored = (
-        picks.join(sizes, [*keys, "pass"])
-        .groupBy(*keys, "summary_id")
+        sized.groupBy(*keys, "summary_id")
         .agg(
             F.sum(F.col("size") - F.col("position") + 1).alias("score"),
             F.count(F.lit(1)).alias("seen"),
             F.min("position").alias("best"),
+            F.max("passes").alias("passes"),
         )
-        .join(floors, keys)
-        .where(F.col("seen") >= F.col("floor"))
+        .where(F.col("seen") >= F.least(F.col("passes"), F.lit(quorum)))
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("best"), F.asc("summary_id"))
-    return scored.drop("floor").withColumn("position", F.row_number().over(order))
+    return scored.drop("passes").withColumn("position", F.row_number().over(order))
 
 
 def majority_tiers(picks: DataFrame, order: DataFrame, keys: list[str]) -> DataFrame:
