@@ -33,7 +33,7 @@ def timed(fn, spark, folder) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    once = float(os.environ.get("BENCH_ONCE_ABOVE", "10"))
+    once = float(os.environ.get("BENCH_ONCE_ABOVE", "4"))
     spark = local_session(cores, partitions=max(cores, 1))
     spark.sparkContext.setLogLevel("ERROR")
     queries = load().queries
