@@ -51,3 +51,39 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from dispatchery.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op1_secrets")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.secrets import digests
+
+    return digests(table(spark, folder, "documents"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.decontamination import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_url_filters")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.urls import judge, labelled_pages
+
+    pages = table(spark, folder, "pages")
+    return judge(pages, labelled_pages(pages, table(spark, folder, "labels")))
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.pii import digests
+
+    return digests(table(spark, folder, "documents"))
+
+
+@query("op7_html")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.html import main_text
+
+    return main_text(table(spark, folder, "pages"))
