@@ -32,11 +32,14 @@ def _seed(mask: int, h: Column, at: Column) -> Column:
     return F.when(at + len(MASKS[mask]) <= F.size(h), F.xxhash64(F.lit(mask), *picked))
 
 
-def seeds(h: Column) -> Column:
-    """Hashes of all masks at all places; the hash of mask m at place i is element i * len(MASKS) + m, null where the mask doesn't fit."""
-    places = F.sequence(F.lit(0), F.size(h) - 1)
-    made = F.flatten(F.transform(places, lambda i: F.array(*(_seed(m, h, i) for m in range(len(MASKS))))))
-    return F.when(F.size(h) > 0, made)
+def seeded(texts: DataFrame, column: str, place: str) -> DataFrame:
+    """A row for each place of the token array and mask that fits there: `place`, __mask and __seed beside the columns given.
+
+    The array is exploded before its windows are hashed, which keeps the hashing in generated code.
+    """
+    placed = texts.select("*", F.posexplode(column).alias(place, "__token")).drop("__token")
+    made = F.array(*(_seed(m, F.col(column), F.col(place)) for m in range(len(MASKS))))
+    return placed.select("*", F.posexplode(made).alias("__mask", "__seed")).where(F.col("__seed").isNotNull())
 
 
 def _extent(doc: Column, item: Column, at: Column, start: Column, way: int) -> Column:
@@ -67,15 +70,15 @@ def overlaps(docs: DataFrame, keys: list[Column], benchmark: DataFrame, block_to
     rounds = max(1, -(-total // block_tokens))
     hashed = docs.select(*keys, tokens(F.col("text").cast("string")).alias("__doc"))
     names = hashed.columns[:-1]
-    spread = hashed.select("*", F.posexplode(seeds(F.col("__doc"))).alias("__at", "__seed")).where(F.col("__seed").isNotNull())
+    spread = seeded(hashed, "__doc", "__place")
     out = None
     for r in range(rounds):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r)
-        known = block.select("item_id", "item", F.posexplode(seeds(F.col("item"))).alias("__from", "__seed")).where(F.col("__seed").isNotNull())
+        known = seeded(block, "item", "__start").select(F.col("__mask").alias("__by"), "__seed", "item_id", "__start")
         # The same seed at several places of an item is one row for each; the block bounds what is broadcast.
-        found = spread.join(F.broadcast(known.select("__seed", "item_id", "__from")), "__seed").join(F.broadcast(block.distinct().withColumnRenamed("item_id", "__item")), F.col("item_id").eqNullSafe(F.col("__item")))
-        found = found.where(F.col("__at") % len(MASKS) == F.col("__from") % len(MASKS))
-        found = found.withColumns({"__mask": F.col("__at") % len(MASKS), "__place": F.floor(F.col("__at") / len(MASKS)).cast("int"), "__start": F.floor(F.col("__from") / len(MASKS)).cast("int")})
+        found = spread.join(F.broadcast(known), "__seed").where(F.col("__mask") == F.col("__by"))
+        whole = block.distinct().withColumnRenamed("item_id", "__item")
+        found = found.join(F.broadcast(whole), F.col("item_id").eqNullSafe(F.col("__item")))
         # In a run of hits on one diagonal the first stands for the rest.
         before = F.lit(False)
         for m, mask in enumerate(MASKS):
