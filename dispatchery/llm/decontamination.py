@@ -17,6 +17,8 @@ MASKS = ("1110111", "11011011", "101111101")
 LEAST_TOKENS, LEAST_SHARE = 13, 0.8
 #: Benchmark tokens broadcast at once; a larger benchmark takes more rounds.
 BLOCK_TOKENS = 40_000
+#: Places that are exploded together.
+SEGMENT = 64
 #: What a token that differs takes off an alignment, in equal tokens.
 PENALTY = 2
 
@@ -32,14 +34,24 @@ def _seed(mask: int, h: Column, at: Column) -> Column:
     return F.when(at + len(MASKS[mask]) <= F.size(h), F.xxhash64(F.lit(mask), *picked))
 
 
-def seeded(texts: DataFrame, column: str, place: str) -> DataFrame:
-    """A row for each place of the token array and mask that fits there: `place`, __mask and __seed beside the columns given.
+def segments(h: Column) -> Column:
+    """The token array in runs of SEGMENT, each with the tokens behind it that a mask at its last place needs."""
+    reach = SEGMENT + max(map(len, MASKS)) - 1
+    run = lambda i: F.transform(F.sequence(i, F.least(i + reach, F.size(h)) - 1), lambda j: F.get(h, j))
+    return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.size(h) - 1, F.lit(SEGMENT)), run))
 
-    The array is exploded before its windows are hashed, which keeps the hashing in generated code.
+
+def seeded(texts: DataFrame, column: str, keys: list[str], place: str) -> DataFrame:
+    """A row for each place of the token array and mask that fits there: keys, `place`, __mask and __seed.
+
+    An exploded row copies what it carries, so places are exploded within short segments; and their
+    seeds are made after that, where Spark generates code for them.
     """
-    placed = texts.select("*", F.posexplode(column).alias(place, "__token")).drop("__token")
-    made = F.array(*(_seed(m, F.col(column), F.col(place)) for m in range(len(MASKS))))
-    return placed.select("*", F.posexplode(made).alias("__mask", "__seed")).where(F.col("__seed").isNotNull())
+    runs = texts.select(*keys, F.posexplode(segments(F.col(column))).alias("__run", "__part"))
+    at = runs.select("*", F.explode(F.sequence(F.lit(0), F.least(F.size("__part"), F.lit(SEGMENT)) - 1)).alias("__in"))
+    made = F.array(*(_seed(m, F.col("__part"), F.col("__in")) for m in range(len(MASKS))))
+    rows = at.select(*keys, (F.col("__run") * SEGMENT + F.col("__in")).alias(place), made.alias("__made"))
+    return rows.select(*keys, place, F.posexplode("__made").alias("__mask", "__seed")).where(F.col("__seed").isNotNull())
 
 
 def _extent(doc: Column, item: Column, at: Column, start: Column, way: int) -> Column:
@@ -63,37 +75,49 @@ def _extent(doc: Column, item: Column, at: Column, start: Column, way: int) -> C
     return F.when(room > 0, F.aggregate(F.sequence(F.lit(0), room - 1), first, step)).otherwise(first)
 
 
-def overlaps(docs: DataFrame, keys: list[Column], benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Verified overlaps as (keys..., item_id, start, length, equal): place, aligned tokens and equal tokens in the document."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("item")).where(F.size("item") > 0)
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash that tells texts of one doc_id apart, and the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Verified overlaps as (doc_id, __hash, item_id, start, length, equal): place, aligned tokens and equal tokens in the document.
+
+    Seeds meet without their texts; only then the texts of the rows that were hit are fetched, by
+    one join, and compared.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("item")).where(F.size("item") > 0).distinct()
     total = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
     rounds = max(1, -(-total // block_tokens))
-    hashed = docs.select(*keys, tokens(F.col("text").cast("string")).alias("__doc"))
-    names = hashed.columns[:-1]
-    spread = seeded(hashed, "__doc", "__place")
+    rows = keyed(docs)
+    spread = seeded(rows.select("doc_id", "__hash", tokens(F.col("__text")).alias("__doc")), "__doc", ["doc_id", "__hash"], "__place")
     out = None
     for r in range(rounds):
-        block = items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r)
-        known = seeded(block, "item", "__start").select(F.col("__mask").alias("__by"), "__seed", "item_id", "__start")
-        # The same seed at several places of an item is one row for each; the block bounds what is broadcast.
-        found = spread.join(F.broadcast(known), "__seed").where(F.col("__mask") == F.col("__by"))
-        whole = block.distinct().withColumnRenamed("item_id", "__item")
-        found = found.join(F.broadcast(whole), F.col("item_id").eqNullSafe(F.col("__item")))
+        # Seeds and items of one block are what is broadcast, so block_tokens bounds it.
+        block = items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == r).withColumn("__no", F.xxhash64("item_id", "item"))
+        known = seeded(block, "item", ["__no"], "__start").withColumnRenamed("__mask", "__by")
+        met = spread.join(F.broadcast(known), "__seed").where(F.col("__mask") == F.col("__by"))
+        hits = met.groupBy("doc_id", "__hash").agg(F.collect_set(F.struct("__no", "__place", "__start")).alias("__hits"))
+        named = hits.toDF("__id", "__key", "__hits")
+        fetched = rows.join(named, rows["doc_id"].eqNullSafe(named["__id"]) & (rows["__hash"] == named["__key"]))
+        found = fetched.select("doc_id", "__hash", tokens(F.col("__text")).alias("__doc"), F.explode("__hits").alias("__hit")).select("*", "__hit.*")
+        found = found.join(F.broadcast(block), "__no")
         # In a run of hits on one diagonal the first stands for the rest.
         before = F.lit(False)
-        for m, mask in enumerate(MASKS):
+        for mask in MASKS:
             same = F.lit(True)
             for k, c in enumerate(mask):
                 if c == "1":
-                    same = same & F.get("__doc", F.col("__place") - 1 + k).eqNullSafe(F.get("item", F.col("__start") - 1 + k))
-            before = before | ((F.col("__mask") == m) & same)
+                    same = same & F.coalesce(F.get("__doc", F.col("__place") - 1 + k) == F.get("item", F.col("__start") - 1 + k), F.lit(False))
+            before = before | same
         found = found.where(~((F.col("__place") > 0) & (F.col("__start") > 0) & before))
         right = _extent(F.col("__doc"), F.col("item"), F.col("__place"), F.col("__start"), 1)
         left = _extent(F.col("__doc"), F.col("item"), F.col("__place"), F.col("__start"), -1)
-        sized = found.select(*names, "item_id", "__place", F.size("item").alias("__size"), right.alias("__r"), left.alias("__l"))
+        sized = found.select("doc_id", "__hash", "item_id", "__place", F.size("item").alias("__size"), right.alias("__r"), left.alias("__l"))
         length, equal = F.col("__r.length") + F.col("__l.length"), F.col("__r.equal") + F.col("__l.equal")
         good = sized.where((length >= F.least(F.col("__size"), F.lit(LEAST_TOKENS))) & (equal >= LEAST_SHARE * length))
-        part = good.select(*names, "item_id", (F.col("__place") - F.col("__l.length")).alias("start"), length.alias("length"), equal.alias("equal"))
+        part = good.select("doc_id", "__hash", "item_id", (F.col("__place") - F.col("__l.length")).alias("start"), length.alias("length"), equal.alias("equal"))
         out = part if out is None else out.union(part)
     return out
 
@@ -105,13 +129,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     nothing. Documents or items without an id are reported under null, repeated rows once; other
     columns are ignored; an empty table on either side gives no rows.
     """
-    found = overlaps(docs, [F.col("doc_id").cast("long").alias("doc_id")], benchmark)
+    found = overlaps(docs, benchmark)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("equal", "length", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), F.col("best.equal").alias("equal"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that overlap no benchmark item, with all their columns."""
-    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("__id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("__digest")]
-    bad = overlaps(docs, keys, benchmark).select("__id", "__digest").distinct()
-    return docs.select(F.struct("*").alias("__row"), *keys).join(bad, ["__id", "__digest"], "left_anti").select("__row.*")
+    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("__doc_id"), F.xxhash64(text).alias("__hash"))
+    return rows.join(bad, rows["__doc_id"].eqNullSafe(bad["__id"]) & (rows["__hash"] == bad["__key"]), "left_anti").select("__row.*")
