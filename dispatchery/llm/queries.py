@@ -87,3 +87,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from dispatchery.llm.html import main_text
 
     return main_text(table(spark, folder, "pages"))
+
+
+@query("op2_substrings")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.substrings import digests
+
+    return digests(table(spark, folder, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
