@@ -10,7 +10,6 @@ sends single windows to buckets of their own hash instead, so no bucket holds a
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -110,7 +109,7 @@ class Parcel:
             ]
             raw = b"".join([*(p.tobytes() for p in parts), *(o[0] for o in at), *texts])
             ids.append(bucket)
-            blobs.append(zlib.compress(raw, 1))
+            blobs.append(len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True))
         self.held.clear()
         self.bytes = 0
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -118,7 +117,7 @@ class Parcel:
 
 def unpacked(blob: bytes) -> Iterator[tuple[int, bytes, list[tuple[bytes, int]], int]]:
     """(group, packed string, its places, its weight) of each entry."""
-    raw = zlib.decompress(blob)
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), "zstd", asbytes=True)
     n, m = np.frombuffer(raw, "<u4", 2)
     at = 8
     arrays = []
