@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dispatchery.llm.words import Words, chunks, gram_hashes
 
-WINDOW, MINIMISER = 35, 8
+WINDOW, MINIMISER = 35, 5
 #: Bytes of text a bucket stands for, counters of frequent minimisers a task keeps, bytes of packed strings a task holds before it sends them.
 BUCKET_BYTES, COUNTERS, FLUSH_BYTES = 1 << 21, 1024, 1 << 25
 #: A minimiser of more runs than this, and than a quarter of a bucket's share, sends single windows.
