@@ -19,7 +19,7 @@ from dispatchery.llm.simhash import fingerprint, local_links
 from dispatchery.llm.words import BASE, Words, chunks, mix
 
 #: Bounds of the fit alone: labelled rows used, and the longest text among them, in characters.
-FIT_ROWS, FIT_CHARS = 4000, 100_000
+FIT_ROWS, FIT_CHARS = 2500, 20_000
 THRESHOLD = 0.7
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
@@ -198,10 +198,14 @@ class Model:
         self.rate_fit = float(labels.mean())
         gram_keys, gram = np.unique(v.grams, return_inverse=True)
         many = v.many[pair_word]
-        pair_of = np.repeat(np.arange(len(pair_word)), many)
-        gram_of = gram[np.arange(len(pair_of)) - np.repeat(np.cumsum(many) - many, many) + v.begin[pair_word[pair_of]]]
+        pair_of = np.repeat(np.arange(len(pair_word), dtype=np.int32), many)
+        place = np.repeat((v.begin[pair_word] - np.cumsum(many) + many).astype(np.int32), many)
+        place += np.arange(len(pair_of), dtype=np.int32)
+        gram_of = gram.astype(np.int32)[place]
+        del place
         in_text = np.unique(pair_text[pair_of] * np.int64(len(gram_keys)) + gram_of)
-        text_of, key_of = np.divmod(in_text, len(gram_keys))
+        text_of, key_of = (x.astype(np.int32) for x in np.divmod(in_text, len(gram_keys)))
+        del in_text
         begin, some, draws = np.cumsum(many) - many, many > 0, []
         for _ in range(DRAWS):
             fold = np.zeros(len(texts), np.int64)
@@ -220,7 +224,7 @@ class Model:
         self.word_odds = np.concatenate(([0], log_odds(seen[0][known], seen[1][known], self.rate_fit))).astype(np.float32)
         self.grams, gram_place = gram_keys[known_gram], np.where(known_gram, np.cumsum(known_gram), 0)
         self.gram_odds = np.concatenate(([0], log_odds(held[0][known_gram], held[1][known_gram], self.rate_fit))).astype(np.float32)
-        del pair_of, gram_of, in_text, text_of, key_of, odds
+        del pair_of, gram_of, text_of, key_of, odds
         features = sum(draws) / np.float32(DRAWS)
         places, owner = v.windows()
         # The windows to learn from: of each text those with the highest odds.
