@@ -29,6 +29,7 @@ LOOKBACK_HOURS = 72
 
 MIN_BODY_CHARS = 400
 TEASER_CHARS = 800
+# Bounds a caller may pass where a model's window is short; nothing is cut without one.
 MAX_BODY_CHARS = 6000
 PROMPT_BODY_CHARS = 5000
 PROMPT_EXTRA_CHARS = 2000
@@ -52,7 +53,6 @@ MAX_FAILURES = 5
 SEARCH_DAILY_CAP = 30
 SUGGEST_AFTER_HOURS = 24
 COST_CEILING = 1.0
-LIMIT_CEILING = 2000
 ZONE = "Europe/Istanbul"
 
 # Words each prose field may use.

@@ -7,20 +7,18 @@ from pyspark.sql import functions as F
 
 from dispatchery import constants as K
 from dispatchery.functions.calendar import age_label
-from dispatchery.functions.text import present
+from dispatchery.functions.text import first_chars, present
 
 
-def shown_body(body: Column) -> Column:
-    """The part of a body a summariser reads."""
+def shown_body(body: Column, most: int | None = None) -> Column:
+    """The body a summariser reads, whole or its first `most` characters."""
     text = F.when(F.coalesce(body, F.lit("")) == "", F.lit(K.NO_BODY)).otherwise(body)
-    return F.substring(text, 1, K.PROMPT_BODY_CHARS)
+    return first_chars(text, most)
 
 
-def shown_extra(extra: Column) -> Column:
+def shown_extra(extra: Column, most: int | None = None) -> Column:
     """Search text under its marker; nothing at all where there is none."""
-    marked = F.concat(
-        F.lit(f"\n\n{K.WEB_CONTEXT_MARKER}\n"), F.substring(extra, 1, K.PROMPT_EXTRA_CHARS)
-    )
+    marked = F.concat(F.lit(f"\n\n{K.WEB_CONTEXT_MARKER}\n"), first_chars(extra, most))
     return F.when(present(extra), marked).otherwise(F.lit(""))
 
 
@@ -40,12 +38,13 @@ def fill(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def summary_fields() -> dict[str, Column]:
+def summary_fields(body_chars: int | None = None, extra_chars: int | None = None) -> dict[str, Column]:
     """What a summarise template may name, read from source/title/url/published/body/extra."""
     return {
         "source": F.col("source"), "title": F.col("title"), "url": F.col("url"),
         "published": F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("unknown")),
-        "body": shown_body(F.col("body_text")), "extra": shown_extra(F.col("extra_text")),
+        "body": shown_body(F.col("body_text"), body_chars),
+        "extra": shown_extra(F.col("extra_text"), extra_chars),
         "tags": F.lit(", ".join(f"`{t}`" for t in K.TAG_VOCABULARY)),
     }
 
@@ -56,8 +55,8 @@ JUDGE_TEMPLATE = (
 )
 
 
-def judge_text() -> Column:
-    body = F.substring(F.coalesce("body_text", F.lit("")), 1, K.PROMPT_BODY_CHARS)
+def judge_text(body_chars: int | None = None) -> Column:
+    body = first_chars(F.coalesce("body_text", F.lit("")), body_chars)
     return fill(JUDGE_TEMPLATE, {
         "source": F.col("source"), "title": F.col("title"),
         "body": F.when(body == "", F.lit("(no body text)")).otherwise(body),

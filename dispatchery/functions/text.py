@@ -45,6 +45,11 @@ def literal_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def first_chars(col: Column, most: int | None) -> Column:
+    """The first `most` characters, or the whole text without a bound."""
+    return col if most is None else F.substring(col, 1, most)
+
+
 def content_tokens(col: Column) -> Column:
     """Distinct lowercase words over two characters that are not stopwords."""
     found = F.regexp_extract_all(
@@ -53,14 +58,15 @@ def content_tokens(col: Column) -> Column:
     return F.array_except(F.filter(found, lambda w: F.length(w) > 2), literal_array(K.STOPWORDS))
 
 
-def capitalised_tokens(col: Column) -> Column:
-    """Distinct capitalised words in code-point order, the first 80."""
+def capitalised_tokens(col: Column, most: int | None = None) -> Column:
+    """Distinct capitalised words in code-point order, all or the first `most`."""
     found = F.regexp_extract_all(
         F.coalesce(col, F.lit("")),
         F.lit(r"(?<![\p{L}\p{N}_])([A-ZÇĞİÖŞÜ][\p{L}\p{N}_\-']+)"),
         F.lit(1),
     )
-    return F.slice(F.array_sort(F.array_distinct(found)), 1, K.MAX_CAPITALISED)
+    names = F.array_sort(F.array_distinct(found))
+    return names if most is None else F.slice(names, 1, most)
 
 
 def parse_tags(col: Column) -> Column:
@@ -68,17 +74,18 @@ def parse_tags(col: Column) -> Column:
     return F.coalesce(F.from_json(col, "array<string>"), F.array().cast("array<string>"))
 
 
-def tidy_tags(tags: Column) -> Column:
-    """Stripped, lowercased, dashed, distinct in order, the first four."""
+def tidy_tags(tags: Column, most: int | None = None) -> Column:
+    """Stripped, lowercased, dashed, distinct in order, all or the first `most`."""
     cleaned = F.transform(tags, lambda t: F.regexp_replace(F.lower(strip(t)), " ", "-"))
-    return F.slice(F.array_distinct(F.filter(cleaned, lambda t: t != "")), 1, 4)
+    kept = F.array_distinct(F.filter(cleaned, lambda t: t != ""))
+    return kept if most is None else F.slice(kept, 1, most)
 
 
-def tidy_body(col: Column) -> Column:
-    """Runs of blanks to one, runs of empty lines to one, at most 6000 characters."""
+def tidy_body(col: Column, most: int | None = None) -> Column:
+    """Runs of blanks to one, runs of empty lines to one; whole, or its first `most` characters."""
     one_space = F.regexp_replace(col, r"[ \t]+", " ")
     two_lines = F.regexp_replace(one_space, r"\n{3,}", "\n\n")
-    return F.substring(strip(two_lines), 1, K.MAX_BODY_CHARS)
+    return first_chars(strip(two_lines), most)
 
 
 def looks_truncated(col: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchery import constants as K
 from dispatchery.functions.calendar import seconds_between
+from dispatchery.functions.text import first_chars
 from dispatchery.operators.curation import eligible_corpus
 from dispatchery.operators.numbering import numbered
 from dispatchery.operators.reading import reading_order
@@ -17,15 +18,18 @@ CORPUS_SCHEMA = (
 )
 
 
-def freeze_corpus(articles: DataFrame, sources: DataFrame, size: int = 40, seed: int = 0) -> DataFrame:
+def freeze_corpus(
+    articles: DataFrame, sources: DataFrame, size: int = 40, seed: int = 0,
+    body_chars: int | None = None, extra_chars: int | None = None,
+) -> DataFrame:
     """Lines of a corpus: a seeded sample of articles with real bodies, as a summariser sees them."""
     drawn = hash_sample(eligible_corpus(articles), "id", size, seed)
     named = drawn.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
     return named.select(
         F.col("id").alias("article_id"), "source", "title", "url",
         F.coalesce(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.lit("unknown")).alias("published"),
-        F.substring("body_text", 1, K.PROMPT_BODY_CHARS).alias("body"),
-        F.substring(F.coalesce("extra_text", F.lit("")), 1, K.PROMPT_EXTRA_CHARS).alias("extra"),
+        first_chars(F.col("body_text"), body_chars).alias("body"),
+        first_chars(F.coalesce("extra_text", F.lit("")), extra_chars).alias("extra"),
     )
 
 

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from dispatchery import constants as K
 from dispatchery.functions.numerals import claimed_values, numeral_values
 from dispatchery.functions.text import (
-    capitalised_tokens, content_tokens, literal_array, parse_tags, present, word_count,
+    capitalised_tokens, content_tokens, first_chars, literal_array, parse_tags, present, word_count,
 )
 
 
-def story_rows(stories: DataFrame, articles: DataFrame) -> DataFrame:
-    """Stories with what a check needs of their bodies: figures and capitalised words."""
-    seen = F.substring(F.coalesce(F.col("body_text"), F.lit("")), 1, K.PROMPT_BODY_CHARS)
+def story_rows(stories: DataFrame, articles: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """Stories with what a check needs of their bodies: figures and capitalised words.
+
+    Bodies are read whole, or to `body_chars` where the summariser saw no more."""
+    seen = first_chars(F.coalesce(F.col("body_text"), F.lit("")), body_chars)
     facts = articles.select(
         F.col("id").alias("article_id"), "title", "body_source",
         numeral_values(seen).alias("body_numerals"), capitalised_tokens(seen).alias("body_capitalised"),

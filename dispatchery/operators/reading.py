@@ -142,7 +142,7 @@ def resolve(bulletins: DataFrame, refs: DataFrame) -> DataFrame:
 
 def page(df: DataFrame, order: list[Column], limit: int | None, default: int) -> DataFrame:
     """The first rows by `order`, with place, exact total, more and next_limit beside each."""
-    size = default if limit is None or limit < 1 else min(limit, K.LIMIT_CEILING)
+    size = default if limit is None or limit < 1 else limit
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     top = df.orderBy(*order).limit(size)
     # At most `size` rows are left, so one task can number them.

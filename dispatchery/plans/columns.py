@@ -150,7 +150,7 @@ def p8(a):
 
 
 SQUEEZE = "regexp_replace(regexp_replace({}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
-TIDY = "substr(regexp_replace(" + SQUEEZE + ", '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), 1, 6000)"
+TIDY = "regexp_replace(" + SQUEEZE + ", '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 
 
 def sided_bodies(a):
@@ -201,7 +201,7 @@ DRAFT_TAGS = "[' ' || upper(tag) || ' ', tag, 'Open Source', '', 'x', 'y', 'z']"
 
 @query("p16_draft_validation", f"""
     SELECT id, importance BETWEEN 1 AND 5 AND kind IN ({quoted(K.KINDS)}) AND trim(why_it_matters) <> '' AS accepted,
-      lower(tag) || ',open-source,x,y' AS tags
+      lower(tag) || ',open-source,x,y,z' AS tags
     FROM (SELECT id, CAST(importance + CASE WHEN id % 7 = 0 THEN 3 ELSE 0 END AS INT) AS importance,
       CASE WHEN id % 8 = 0 THEN 'gossip' ELSE kind END AS kind, why_it_matters, 'src' || source_id AS tag FROM summaries) q""")
 def p16(a):
@@ -257,12 +257,12 @@ def f8_labels(a):
     return a.articles.select("id", age_label(age_hours(a.now.scalar(), F.col("published_at"))).alias("age"))
 
 
-BODY_CUT = f"CASE WHEN body_text = '' THEN '{K.NO_BODY}' ELSE substr(body_text, 1, 5000) END"
+BODY_CUT = f"CASE WHEN body_text = '' THEN '{K.NO_BODY}' ELSE body_text END"
 
 
 @query("f13_summary_prompt", f"""
     SELECT a.id, md5('Read ' || s.name || ' / ' || title || ' / ' || a.url || ' / ' || {BODY_CUT}
-      || CASE WHEN a.id % 4 = 0 THEN chr(10) || chr(10) || '{K.WEB_CONTEXT_MARKER}' || chr(10) || substr(body_text, 1, 2000) ELSE '' END) AS prompt
+      || CASE WHEN a.id % 4 = 0 THEN chr(10) || chr(10) || '{K.WEB_CONTEXT_MARKER}' || chr(10) || body_text ELSE '' END) AS prompt
     FROM articles a JOIN sources s ON s.id = a.source_id WHERE a.id % 4 <> 0 OR trim(body_text) <> ''""")
 def f13(a):
     rows = a.articles.join(a.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
@@ -273,7 +273,7 @@ def f13(a):
 
 @query("f13_judge_tokens", """
     SELECT s.id, (length('Source: ' || src.name || chr(10) || 'Title: ' || a.title || chr(10) || chr(10) || 'Article text:' || chr(10)
-      || substr(a.body_text, 1, 5000) || chr(10) || chr(10) || '---' || chr(10) || 'Summary:' || chr(10) || s.summary || chr(10) || chr(10)
+      || a.body_text || chr(10) || chr(10) || '---' || chr(10) || 'Summary:' || chr(10) || s.summary || chr(10) || chr(10)
       || 'Why it matters:' || chr(10) || s.why_it_matters)) // 4 AS tokens
     FROM summaries s JOIN articles a ON a.id = s.article_id JOIN sources src ON src.id = a.source_id""")
 def f13_judge(a):

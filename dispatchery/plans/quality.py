@@ -206,9 +206,9 @@ def a23(a):
 
 @query("a25_compare_sides")
 def a25(a):
-    """The stored summaries against the same with a shorter cut, over every article that has one."""
+    """The stored summaries against their first sentences alone, over every article that has one."""
     sides = a.summaries.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumns({
-        "summary": F.when(F.col("side") == "a", F.col("summary")).otherwise(F.substring("summary", 1, 150)),
+        "summary": F.when(F.col("side") == "a", F.col("summary")).otherwise(F.regexp_extract("summary", r"^[^.]*", 0)),
         "position": F.lit(None).cast("int")})
     answered = quality.story_rows(sides.where("side = 'a' OR id % 13 <> 0"), a.bodies)
     spent = sides.groupBy("side").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dispatchery import constants as K
 from dispatchery.functions.hashing import scatter
 from dispatchery.operators import ranking
 from dispatchery.plans.reading import pool, r6
@@ -44,7 +45,8 @@ def a13(a):
 @query("a13_editor_note", "SELECT day, version, editor_note FROM best_notes")
 def a13_note(a):
     picks = a.versioned_readings
-    return ranking.best_notes(picks, a.notes, ranking.borda(picks, KEYS), KEYS)
+    published = ranking.borda(picks, KEYS).where(F.col("position") <= K.TOP_N)
+    return ranking.best_notes(picks, a.notes, published, KEYS)
 
 
 @query("a14_kendall_tau", """
@@ -116,10 +118,11 @@ def l5(a):
     return ranking.fallback(pool(a, WHOLE), ["day"])
 
 
-@query("k2_day_ranking", """
+@query("k2_day_ranking", f"""
     SELECT t.day, t.summary_id, t.position, t.tier, r.reason, n.editor_note, round(g.agreement, 6) AS agreement
     FROM tiers t LEFT JOIN reasons r USING (day, version, summary_id)
-    JOIN agreements g USING (day, version) LEFT JOIN best_notes n USING (day, version) WHERE version = 2""")
+    JOIN agreements g USING (day, version) LEFT JOIN best_notes n USING (day, version)
+    WHERE version = 2 AND position <= {K.TOP_N}""")
 def k2(a):
     notes = a.readings.select("day", "pass").distinct().withColumn(
         "note", F.concat(F.lit("note "), F.col("day"), F.lit("/"), F.col("pass").cast("string")))

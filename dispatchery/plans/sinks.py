@@ -148,7 +148,7 @@ def s8(a):
 
 
 @query("s9_frozen_corpus", """
-    SELECT a.id AS article_id, s.name AS source, md5(substr(a.body_text, 1, 5000)) AS body, length(a.title) AS title_chars
+    SELECT a.id AS article_id, s.name AS source, md5(a.body_text) AS body, length(a.title) AS title_chars
     FROM (SELECT *, ((id % 1000003) * ((2654435761 + 2 * 104729) % 1000003)) % 1000003 AS h FROM marked_articles
       WHERE length(body_text) > 400 AND body_source IN ('feed', 'fetch') AND dup_of IS NULL ORDER BY h, id LIMIT 40) a
     JOIN sources s ON s.id = a.source_id""")

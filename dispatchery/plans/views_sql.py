@@ -39,7 +39,7 @@ VIEWS: dict[str, str] = {
     "docs": """
         SELECT *, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS n,
           TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 41) AS fetched,
-          substr(regexp_extract(text, '^[^.\\n]*'), 1, 120) AS head
+          regexp_extract(text, '^[^.\\n]*') AS head
         FROM documents""",
     "sources": """
         SELECT DISTINCT n AS id, 'src' || n AS name, round(CAST(0.5 + (n % 16) * 0.1 AS DOUBLE), 1) AS weight,
@@ -60,7 +60,8 @@ VIEWS: dict[str, str] = {
     "clock": "SELECT max(fetched_at) AS now FROM articles",
     "summaries": f"""
         SELECT d.doc_id AS id, d.doc_id AS article_id, d.n AS source_id, 'en' AS language,
-          head AS title_local, substr(text, 1, 300) AS summary, substr(text, 301, 120) AS why_it_matters,
+          head AS title_local, regexp_extract(text, '^[^\\n]*') AS summary,
+          regexp_replace(text, '^[^\\n]*\\n?', '') AS why_it_matters,
           '["' || lang || '","' || source || '","t' || (d.doc_id % 7) || '"]' AS tags_json,
           CAST(d.doc_id % 5 + 1 AS INT) AS importance, quality = 1 AS relevant,
           [{quoted(K.KINDS)}][CAST(d.doc_id % 6 AS INT) + 1] AS kind,
@@ -105,7 +106,7 @@ VIEWS: dict[str, str] = {
             row_number() OVER (PARTITION BY day, pass
               ORDER BY importance * 200000 + {scatter_sql("id", "pass")} DESC, id) AS position
           FROM summaries, (SELECT unnest([1, 2, 3]) AS pass) WHERE relevant) q
-        WHERE position <= 6""",
+        WHERE position <= {K.TOP_N}""",
     "versioned_readings": """
         SELECT r.*, version FROM readings r, (SELECT unnest([1, 2]) AS version) v
         WHERE pass < 3 OR version = 2""",
@@ -141,12 +142,13 @@ VIEWS: dict[str, str] = {
     "reasons": """
         SELECT day, version, summary_id, arg_min(reason, pass) AS reason
         FROM versioned_readings WHERE trim(reason) <> '' GROUP BY day, version, summary_id""",
-    "best_notes": """
+    "best_notes": f"""
         SELECT day, version, note AS editor_note FROM (
           SELECT n.day, n.version, n.pass, note,
             row_number() OVER (PARTITION BY n.day, n.version ORDER BY count(b.summary_id) DESC, n.pass) AS k
           FROM notes n JOIN versioned_readings r USING (day, version, pass)
           LEFT JOIN borda b ON b.day = r.day AND b.version = r.version AND b.summary_id = r.summary_id
+            AND b.position <= {K.TOP_N}
           GROUP BY n.day, n.version, n.pass, note) q
         WHERE k = 1""",
     "pass_pairs": """
@@ -191,12 +193,12 @@ VIEWS: dict[str, str] = {
           CAST(date_diff('day', DATE '2024-01-01', CAST(day AS DATE)) * 2 + version AS BIGINT) AS run_id,
           CAST(day AS TIMESTAMP) + INTERVAL 21 HOUR + to_hours(version) AS created_at
         FROM agreements LEFT JOIN best_notes USING (day, version)""",
-    "items": """
+    "items": f"""
         SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(day AS DATE)) * 10 + version AS BIGINT)
             AS bulletin_id,
           summary_id, position, tier, reason,
           CASE WHEN summary_id % 2 = 0 THEN 'TR ' || reason END AS reason_tr
-        FROM tiers LEFT JOIN reasons USING (day, version, summary_id)""",
+        FROM tiers LEFT JOIN reasons USING (day, version, summary_id) WHERE position <= {K.TOP_N}""",
     "runs": """
         SELECT o_orderkey AS id,
           CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'digest' ELSE 'collect' END AS kind,

@@ -22,7 +22,6 @@ from dispatchery.session import cut, spread
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 MODELS = tuple(K.PRICES)
 STAGES = ("collect", "dedupe", "enrich", "summarize", "rank", "translate", "persist")
-READING_SIZE = 6
 
 
 def pick(values, index) -> F.Column:
@@ -30,6 +29,11 @@ def pick(values, index) -> F.Column:
     return F.element_at(literal_array(values), index.cast("int") + 1)
 
 
+def first_sentence(text: F.Column) -> F.Column:
+    """The headline of a document: its text up to the first full stop or line end."""
+    return F.regexp_extract(text, r"^[^.\n]*", 0)
+
+
 class Archive:
     """Views over one folder of parquet tables."""
 
@@ -79,7 +83,7 @@ class Archive:
         return self.documents.select(
             i.alias("id"),
             F.col("n").alias("source_id"),
-            F.substring(F.regexp_extract("text", r"^[^.\n]*", 0), 1, 120).alias("title"),
+            first_sentence(F.col("text")).alias("title"),
             F.when(i % 17 != 0, F.timestamp_seconds(F.lit(EPOCH) + i * 37 * 60)).alias("published_at"),
             F.timestamp_seconds(F.lit(EPOCH) + i * 41 * 60).alias("fetched_at"),
             F.col("text").alias("body_text"),
@@ -121,9 +125,9 @@ class Archive:
             i.alias("article_id"),
             F.col("n").alias("source_id"),
             F.lit("en").alias("language"),
-            F.substring(F.regexp_extract("text", r"^[^.\n]*", 0), 1, 120).alias("title_local"),
-            F.substring("text", 1, 300).alias("summary"),
-            F.substring("text", 301, 120).alias("why_it_matters"),
+            first_sentence(F.col("text")).alias("title_local"),
+            F.regexp_extract("text", r"^[^\n]*", 0).alias("summary"),
+            F.regexp_replace("text", r"^[^\n]*\n?", "").alias("why_it_matters"),
             F.to_json(tags).alias("tags_json"),
             (i % 5 + 1).cast("int").alias("importance"),
             (F.col("quality") == 1).alias("relevant"),
@@ -199,7 +203,7 @@ class Archive:
         position = F.col("position")
         return (
             scored.withColumn("position", F.row_number().over(order))
-            .where(position <= READING_SIZE)
+            .where(position <= K.TOP_N)
             .select(
                 "day", "pass", "position", "summary_id",
                 F.when(F.col("pass") < 3, ranking.band(position))

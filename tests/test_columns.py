@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dispatchery import constants as K
 from dispatchery.functions import calendar, hashing, money, numerals, prompts, text, titles, urls
+from dispatchery.sources.archive import first_sentence
 
 
 def test_canonical_urls(values):
@@ -93,11 +94,15 @@ def test_tokens(values):
     assert values(text.content_tokens, ["The Model ships in Ankara's new lab"]) == [["ships", "ankara's", "lab"]]
     assert values(text.capitalised_tokens, ["Zed met Ada-Lovelace and İzmir, aB not. Ada-Lovelace"]) == [["Ada-Lovelace", "Zed", "İzmir"]]
     assert values(text.word_count, ["  a b\n c ", "", None]) == [3, 0, 0]
+    names = sorted({f"Na{i:03d}" for i in range(120)})
+    assert values(text.capitalised_tokens, [" ".join(names)]) == [names]
+    assert values(lambda c: text.capitalised_tokens(c, 7), [" ".join(names)]) == [names[:7]]
 
 
 def test_tags(values):
     assert values(text.parse_tags, ['["a","b"]', "oops", None, "[]"]) == [["a", "b"], [], [], []]
-    assert values(text.tidy_tags, [[" Open Source ", "open-source", "", "AI", "x", "y", "z"]], "array<string>") == [["open-source", "ai", "x", "y"]]
+    assert values(text.tidy_tags, [[" Open Source ", "open-source", "", "AI", "x", "y", "z"]], "array<string>") == [["open-source", "ai", "x", "y", "z"]]
+    assert values(lambda c: text.tidy_tags(c, 4), [["Low Tide", "b", "c", "d", "e"]], "array<string>") == [["low-tide", "b", "c", "d"]]
 
 
 def test_paragraphs(values):
@@ -142,9 +147,17 @@ def test_prices(values, spark):
 
 def test_prompts(values):
     assert values(prompts.shown_extra, ["  ", None, "x"]) == ["", "", f"\n\n{K.WEB_CONTEXT_MARKER}\nx"]
-    assert values(prompts.shown_body, ["", "y" * 6000]) == [K.NO_BODY, "y" * 5000]
+    assert values(prompts.shown_body, ["", "y" * 6000]) == [K.NO_BODY, "y" * 6000]
+    assert values(lambda c: prompts.shown_body(c, K.PROMPT_BODY_CHARS), ["y" * 6000]) == ["y" * 5000]
     assert values(lambda c: prompts.fill("<{a}|{b}>", {"a": c, "b": F.lit("2")}), ["1"]) == ["<1|2>"]
 
 
+def test_whole_texts(values):
+    long = "word " * 2000
+    assert values(text.tidy_body, [long + "\n\n\n\nend"]) == [long + "\n\nend"]
+    assert values(lambda c: text.tidy_body(c, 9), [long]) == ["word word"]
+    assert values(first_sentence, ["h" * 400 + ". Rest", "one line\ntwo", ""]) == ["h" * 400, "one line", ""]
+
+
 def test_notes(values):
     assert values(lambda c: text.note_parts(c)["k"], ['{"k":"dedupe","dropped":7}', "{broken", "timeout"]) == ["dedupe", None, None]

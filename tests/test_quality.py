@@ -49,6 +49,15 @@ def test_ungrounded(stories):
     assert got == {1: ["500"], 4: ["13000000000"]}
 
 
+def test_figures_far_into_a_body(spark):
+    filler = "plain words " * 800
+    articles = spark.createDataFrame([(1, "t", "feed", filler + "for 4100 crowns")], "id bigint, title string, body_source string, body_text string")
+    story = spark.createDataFrame([(1, 1, "It cost 4100 crowns", "", "[]")], "bulletin_id bigint, article_id bigint, summary string, why_it_matters string, tags_json string")
+    assert quality.story_rows(story, articles).first()["body_numerals"] == ["4100"]
+    assert quality.ungrounded_numerals(quality.story_rows(story, articles), ["bulletin_id"]).collect() == []
+    assert quality.story_rows(story, articles, 5000).first()["body_numerals"] == []
+
+
 def test_tags_and_importance(stories):
     row = one(quality.tag_vocabulary(stories, ["bulletin_id"]))
     assert (row["distinct"], row["singleton_share"], row["in_vocabulary_share"]) == (3, pytest.approx(2 / 3), pytest.approx(1 / 4))
