@@ -14,6 +14,7 @@ from dispatchery import constants as K
 from dispatchery.functions.hashing import scatter
 from dispatchery.functions.text import literal_array, present, strip
 from dispatchery.operators.numbering import numbered
+from dispatchery.session import cut
 
 
 def band(position: Column) -> Column:
@@ -283,3 +284,25 @@ def aggregate(
     )
     days = agreement(picks, pools, keys).join(best_notes(picks, notes, order, keys), keys, "left")
     return items, days
+
+
+def rank_days(
+    pool: DataFrame, arranged: DataFrame, answers: DataFrame, notes: DataFrame, keys: list[str],
+    top_n: int = K.TOP_N,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole ranking of each group: answers checked against their own table, then aggregated.
+
+    A group none of whose answers can be used gets the fallback order: without reasons, note or
+    agreement, and with `readings` 0.
+    """
+    # At most `top_n` rows a reading, read by every part of the aggregate.
+    picks = cut(valid_picks(answers, arranged, keys, top_n))
+    sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("pool"))
+    items, days = aggregate(picks, notes, sizes, keys, top_n)
+    readings = picks.groupBy(*keys).agg(F.count_distinct("pass").alias("readings"))
+    unread = pool.join(readings, keys, "left_anti")
+    spare = fallback(unread, keys, top_n).withColumn("reason", F.lit(None).cast("string"))
+    described = sizes.join(readings, keys, "left").na.fill(0, ["readings"]).join(
+        days.select(*keys, "editor_note", "agreement"), keys, "left"
+    )
+    return items.unionByName(spare), described

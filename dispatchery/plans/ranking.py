@@ -9,7 +9,8 @@ from dispatchery.functions.hashing import scatter
 from dispatchery.operators import ranking
 from dispatchery.plans.reading import pool, r6
 from dispatchery.plans.registry import query
-from dispatchery.plans.views_sql import BAND, scatter_sql
+from dispatchery.plans.views_sql import BAND, TIER_RANK, scatter_sql
+from dispatchery.session import cut
 
 KEYS = ["day", "version"]
 WHOLE = 100_000  # days: the pool of every day, whatever its age
@@ -130,3 +131,68 @@ def k2(a):
     items, days = ranking.aggregate(a.readings, notes, pools, ["day"])
     return items.join(days.select("day", "editor_note", "agreement"), "day").select(
         "day", "summary_id", "position", "tier", "reason", "editor_note", r6("agreement").alias("agreement"))
+
+
+UNUSABLE = "CAST(right(day, 2) AS INT) % 4 = 0"
+FLOW_ANSWERS = f"""
+    SELECT day, pass, ({scatter_sql("summary_id", "pass + 7")}) * 1000000 + ordinal AS nth,
+      ordinal + CASE WHEN {UNUSABLE} THEN 1000000000 WHEN ordinal % 3 = 0 THEN 1 ELSE 0 END AS number,
+      CASE WHEN summary_id % 9 = 0 THEN 'lead' WHEN (summary_id + pass) % 3 = 0 THEN 'notable' ELSE 'major' END AS tier,
+      CASE WHEN (summary_id + pass) % 4 = 0 THEN ' ' ELSE ' for ' || summary_id || '.' || pass END AS reason
+    FROM arranged"""
+
+
+@query("k2_whole_flow", f"""
+    SELECT * FROM (WITH pooled AS MATERIALIZED ({POOL_ALL}), arranged AS MATERIALIZED ({ARRANGED}),
+    picked AS MATERIALIZED (
+      SELECT * FROM (
+        SELECT f.day, f.pass, t.summary_id, f.tier, trim(f.reason) AS reason,
+          row_number() OVER (PARTITION BY f.day, f.pass ORDER BY f.nth) AS position
+        FROM (SELECT day, pass, number, min(nth) AS nth, arg_min(tier, nth) AS tier, arg_min(reason, nth) AS reason
+          FROM ({FLOW_ANSWERS}) y GROUP BY day, pass, number) f
+        JOIN arranged t ON t.day = f.day AND t.pass = f.pass AND t.ordinal = f.number) w
+      WHERE position <= {K.TOP_N}),
+    lengths AS (SELECT day, pass, count(*) AS size FROM picked GROUP BY day, pass),
+    points AS (
+      SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, best, summary_id) AS position
+      FROM (SELECT day, summary_id, sum(size - position + 1) AS score, count(*) AS seen, min(position) AS best
+        FROM picked JOIN lengths USING (day, pass) GROUP BY day, summary_id) s
+      WHERE seen >= (SELECT least(count(*), 2) FROM lengths z WHERE z.day = s.day)),
+    votes AS (
+      SELECT day, summary_id, tier AS voted, row_number() OVER (PARTITION BY day, summary_id
+        ORDER BY count(*) DESC, {TIER_RANK.format("tier")} DESC) AS k
+      FROM picked GROUP BY day, summary_id, tier),
+    placed AS (
+      SELECT day, summary_id, position, CASE WHEN voted = 'lead' AND sum(CASE WHEN voted = 'lead' THEN 1 ELSE 0 END)
+          OVER (PARTITION BY day ORDER BY position) > 1 THEN 'major' ELSE voted END AS tier
+      FROM points JOIN votes USING (day, summary_id) WHERE k = 1),
+    said AS (SELECT day, summary_id, arg_min(reason, pass) AS reason FROM picked WHERE reason <> '' GROUP BY day, summary_id),
+    heads AS (
+      SELECT day, note AS editor_note FROM (
+        SELECT p.day, p.pass, 'note ' || p.day || '/' || p.pass AS note,
+          row_number() OVER (PARTITION BY p.day ORDER BY count(b.summary_id) DESC, p.pass) AS k
+        FROM picked p LEFT JOIN points b ON b.day = p.day AND b.summary_id = p.summary_id AND b.position <= {K.TOP_N}
+        GROUP BY p.day, p.pass) q WHERE k = 1)
+    SELECT day, summary_id, position, tier, reason, editor_note,
+      (SELECT count(*) FROM lengths z WHERE z.day = placed.day) AS readings
+    FROM placed LEFT JOIN said USING (day, summary_id) LEFT JOIN heads USING (day) WHERE position <= {K.TOP_N}
+    UNION ALL
+    SELECT day, summary_id, position, {BAND.format("position")}, NULL, NULL, 0 FROM (
+      SELECT day, summary_id, row_number() OVER (PARTITION BY day
+        ORDER BY importance DESC, weight DESC, published_at ASC NULLS LAST, article_id) AS position
+      FROM pooled WHERE day NOT IN (SELECT day FROM picked)) z WHERE position <= {K.TOP_N}) flow""")
+def k2_flow(a):
+    """Pool, arrangements, answers, aggregate; every fourth day of a month has no usable answer."""
+    stories = pool(a, WHOLE)
+    arranged = cut(ranking.arrangements(stories, ["day"], 11))
+    i, off = F.col("summary_id"), F.col("summary_id") + F.col("pass")
+    answers = arranged.select(
+        "day", "pass", (scatter(i, F.col("pass") + 7) * 1000000 + F.col("ordinal")).alias("nth"),
+        (F.col("ordinal") + F.when(F.expr(UNUSABLE), 1000000000).when(F.col("ordinal") % 3 == 0, 1).otherwise(0)).alias("number"),
+        F.when(i % 9 == 0, "lead").when(off % 3 == 0, "notable").otherwise("major").alias("tier"),
+        F.when(off % 4 == 0, " ").otherwise(F.concat(F.lit(" for "), i.cast("string"), F.lit("."), F.col("pass").cast("string"))).alias("reason"))
+    notes = arranged.select("day", "pass").distinct().withColumn(
+        "note", F.concat(F.lit("note "), F.col("day"), F.lit("/"), F.col("pass").cast("string")))
+    items, days = ranking.rank_days(stories, arranged, answers, notes, ["day"])
+    return items.join(days.select("day", "editor_note", "readings"), "day").select(
+        "day", "summary_id", "position", "tier", "reason", "editor_note", "readings")
