@@ -32,6 +32,7 @@ FOLDS, DRAWS = 5, 6
 #: Share of the rate at which the vectors of words and n-grams move.
 SLOW = 0.1
 _BLOCK = 768
+_GRAMS_AT_ONCE = 500_000
 
 #: Every byte but a letter or digit of ASCII parts words; bytes of other characters don't.
 BETWEEN = np.ones(256, bool)
@@ -197,16 +198,24 @@ class Model:
         pair_text, pair_word = np.divmod(pair_keys, len(v.keys) + 1)
         self.rate_fit = float(labels.mean())
         gram_keys, gram = np.unique(v.grams, return_inverse=True)
+        gram = gram.astype(np.int32)
         many = v.many[pair_word]
-        pair_of = np.repeat(np.arange(len(pair_word), dtype=np.int32), many)
-        place = np.repeat((v.begin[pair_word] - np.cumsum(many) + many).astype(np.int32), many)
-        place += np.arange(len(pair_of), dtype=np.int32)
-        gram_of = gram.astype(np.int32)[place]
-        del place
-        in_text = np.unique(pair_text[pair_of] * np.int64(len(gram_keys)) + gram_of)
-        text_of, key_of = (x.astype(np.int32) for x in np.divmod(in_text, len(gram_keys)))
-        del in_text
-        begin, some, draws = np.cumsum(many) - many, many > 0, []
+        # The n-grams of all pairs are many times the words, so they are spread out for some texts at a time.
+        block = np.cumsum(np.bincount(pair_text, many, len(texts)).astype(np.int64)) // _GRAMS_AT_ONCE
+        edges = np.concatenate((np.searchsorted(block[pair_text], np.unique(block[pair_text])), [len(pair_text)]))
+
+        def spread():
+            """(pairs of some texts, the pair of each of their n-grams counted from the first, its n-gram)."""
+            for low, high in zip(edges[:-1], edges[1:]):
+                each = many[low:high]
+                of = np.repeat(np.arange(high - low), each)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each) + v.begin[pair_word[low:high]][of]
+                yield slice(low, high), of, gram[place]
+
+        parts = [np.unique(pair_text[at][of] * np.int64(len(gram_keys)) + code) for at, of, code in spread()]
+        text_of, key_of = (np.concatenate([how(p, len(gram_keys)).astype(np.int32) for p in parts] or [np.zeros(0, np.int32)]) for how in (np.floor_divide, np.mod))
+        del parts
+        draws = []
         for _ in range(DRAWS):
             fold = np.zeros(len(texts), np.int64)
             for y in (0, 1):
@@ -214,17 +223,21 @@ class Model:
             word_odds, seen = self._cross_fit(pair_word, pair_text, len(v.keys), labels, fold)
             gram_odds, held = self._cross_fit(key_of, text_of, len(gram_keys), labels, fold)
             known, known_gram = seen.sum(0) >= KNOWN, held.sum(0) >= KNOWN
-            odds = np.where(known_gram[gram_of], gram_odds[fold[pair_text[pair_of]], gram_of], np.float32(0))
             features = np.zeros((len(pair_word), 3), np.float32)
             features[:, 0] = np.where(known[pair_word], word_odds[fold[pair_text], pair_word], 0)
-            features[some, 1] = np.maximum.reduceat(odds, begin[some])
-            features[some, 2] = np.add.reduceat(odds, begin[some]) / many[some]
+            for at, of, code in spread():
+                odds = np.where(known_gram[code], gram_odds[fold[pair_text[at]][of], code], np.float32(0))
+                some = many[at] > 0
+                begin = (np.cumsum(many[at]) - many[at])[some]
+                if len(begin):
+                    features[at][some, 1] = np.maximum.reduceat(odds, begin)
+                    features[at][some, 2] = np.add.reduceat(odds, begin) / many[at][some]
             draws.append(features)
         self.words, word_of = v.keys[known], np.where(known, np.cumsum(known), 0)
         self.word_odds = np.concatenate(([0], log_odds(seen[0][known], seen[1][known], self.rate_fit))).astype(np.float32)
         self.grams, gram_place = gram_keys[known_gram], np.where(known_gram, np.cumsum(known_gram), 0)
         self.gram_odds = np.concatenate(([0], log_odds(held[0][known_gram], held[1][known_gram], self.rate_fit))).astype(np.float32)
-        del pair_of, gram_of, text_of, key_of, odds
+        del text_of, key_of, gram_odds, held
         features = sum(draws) / np.float32(DRAWS)
         places, owner = v.windows()
         # The windows to learn from: of each text those with the highest odds.
@@ -239,7 +252,8 @@ class Model:
 
     def _cross_fit(self, key: np.ndarray, text: np.ndarray, keys: int, labels: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log-odds of every key by the fold left out, counts of its toxic and other texts)."""
-        by_fold = np.stack([np.bincount((fold * keys)[text[pick]] + key[pick], minlength=FOLDS * keys).reshape(FOLDS, keys) for pick in (labels[text] == 1, labels[text] == 0)])
+        part = (labels * FOLDS + fold)[text].astype(np.int8)
+        by_fold = np.stack([[np.bincount(key[part == y * FOLDS + f], minlength=keys) for f in range(FOLDS)] for y in (1, 0)])
         total = by_fold.sum(1)
         rest = total[:, None] - by_fold
         return log_odds(rest[0], rest[1], self.rate_fit), total
