@@ -1,8 +1,9 @@
 """Main text of pages by consensus host paths.
 
-Every page scores its containers and names the best by generalised paths of tags and classes.
-Spark adds the votes of each host's pages, and each page is read again at its host's winning path,
-or at its own best container where it has no such path. Votes are summed before the shuffle.
+Every page scores its containers and votes for their generalised paths of tags and classes, once a
+path. Spark adds the votes of each host's pages, and each page is read again at its host's winning
+path and at paths beside it that hold a fair share of its votes, or at its own where it has no such
+path. An article in several parts is read whole. Votes are summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Containers a page votes for, and hosts whose winners are broadcast at most; more are joined by a shuffle.
-VOTES, BROADCAST_HOSTS = 3, 100_000
+#: Hosts whose winners are broadcast at most; more are joined by a shuffle.
+BROADCAST_HOSTS = 100_000
+#: Hundredths of the best path's votes, or of the best container's score, that make one beside it a part of the same text.
+FAIR = 30
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -196,17 +199,68 @@ class Page:
             if tag not in BLOCKS and self._stack[i].tag in BLOCKS:
                 return  # an inline end tag doesn't reach out of its block
 
-    def best(self) -> list[Part]:
-        """Containers by score, the best first; of equals the outer one."""
-        ranked = [p for p in self.parts if p.score > 0 and not p.off]
-        return sorted(ranked, key=lambda p: -p.score)[:VOTES]
-
-    def text(self, path: str | None) -> str:
-        """Blocks of the best container with that path, or of the best of all; of the whole page if it has no container."""
-        ranked = self.best()
-        pick = next((p for p in sorted(self.parts, key=lambda p: -p.score) if p.path == path and p.score > 0), None) if path else None
-        pick = pick or (ranked[0] if ranked else self.root)
-        return "\n".join(text for text, part in self.blocks if self._below(part, pick))
+    def shares(self) -> dict[str, float]:
+        """Share of each path in the page's score; of containers with one path the best counts."""
+        best: dict[str, float] = {}
+        for part in self.parts:
+            if part.score > 0:
+                best[part.path] = max(part.score, best.get(part.path, 0.0))
+        total = sum(best.values())
+        return {path: score / total for path, score in best.items()}
+
+    def text(self, path: str | None, beside: list[str] | None = None) -> str:
+        """Blocks of the containers with that path or those beside it, or with the page's own best path; of the whole page if it has no container.
+
+        Of an article they stand in all blocks belong to the text. Elsewhere what lies between the
+        parts does, what stands in no other container around them, and in `main` containers of a fair share.
+        """
+        picks = self._at({path, *(beside or ())}) if path and self._at({path}) else []
+        if not picks and (shares := self.shares()):
+            own = max(shares, key=lambda p: shares[p])
+            picks = self._at({own, *(p for p in shares if beside_of(p) == beside_of(own) and 100 * shares[p] >= FAIR * shares[own])})
+        if not picks:
+            return "\n".join(text for text, _ in self.blocks)
+        top = self._common(picks)
+        home = top
+        while home is not None and home.tag not in ("article", "main"):
+            home = home.up
+        if home is not None and home.tag == "article":
+            return "\n".join(text for text, part in self.blocks if self._below(part, home))
+        inside = [i for i, (_, part) in enumerate(self.blocks) if any(self._below(part, p) for p in picks)]
+        spine: set[Part] = set()
+        for part in picks:
+            while part is not None and part not in spine:
+                spine.add(part)
+                part = part.up
+        least = FAIR / 100 * max(p.score for p in picks) if home is not None else None
+        around = home or (top.up if len(picks) == 1 else top)
+        kept = []
+        for i, (text, part) in enumerate(self.blocks):
+            if inside[0] <= i <= inside[-1]:
+                kept.append(text)
+            elif self._below(part, around) and (home is not None or len(picks) > 1 or part.tag in HEADINGS) and self._joins(part, around, spine, least):
+                kept.append(text)
+        return "\n".join(kept)
+
+    def _at(self, paths: set[str]) -> list[Part]:
+        return [p for p in self.parts if p.path in paths and p.score > 0]
+
+    @classmethod
+    def _common(cls, parts: list[Part]) -> Part:
+        top = parts[0]
+        for part in parts[1:]:
+            while not cls._below(part, top):
+                top = top.up
+        return top
+
+    def _joins(self, part: Part, around: Part, spine: set[Part], least: float | None) -> bool:
+        """Whether a block in `around` stands in no container but those around the picks, or in one that is worth `least`."""
+        outer = best = None
+        while part is not around:
+            if part.tag in CONTAINERS and part not in spine:
+                outer, best = part, max(part.score, best or 0.0)
+            part = part.up
+        return outer is None or least is not None and best >= least
 
     @staticmethod
     def _below(part: Part | None, top: Part) -> bool:
@@ -217,11 +271,9 @@ class Page:
         return False
 
 
-def votes_of(source: str | None) -> list[tuple[str, float]]:
-    """(path, share) of a page's best containers."""
-    best = Page(source or "").best()
-    total = sum(p.score for p in best)
-    return [(p.path, p.score / total) for p in best]
+def beside_of(path: str) -> str:
+    """The path of what an element stands in: elements with the same one are beside each other."""
+    return path.rpartition("/")[0]
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -229,20 +281,31 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, path): of each host the path with the most votes; equal votes go to the path that sorts first."""
+    """(host, path, beside): of each host the path with the most votes, and the paths beside it that have a fair share of these.
+
+    Equal votes go to the path that sorts first.
+    """
+    from dispatchery.llm.runs import Run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
-                hosts, paths, shares = [], [], []
+                votes: dict[tuple[str | None, str], int] = {}
                 for host, source in zip(batch.column(0).slice(start, 256).to_pylist(), batch.column(1).slice(start, 256).to_pylist()):
-                    for path, share in votes_of(source):
-                        hosts.append(host), paths.append(path), shares.append(share)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], ["host", "path", "share"])
-
-    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, share double")
-    summed = votes.groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+                    for path, share in Page(source or "").shares().items():
+                        votes[host, path] = votes.get((host, path), 0) + round(share * 1e6)
+                hosts, paths = [h for h, _ in votes], [p for _, p in votes]
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes.values(), pa.int64())], ["host", "path", "votes"])
+
+    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, votes long")
+    summed = Run(pages.sparkSession, "votes").keep(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes")))
+    won = summed.groupBy("host").agg(F.min_by(F.struct("path", "votes"), F.struct(-F.col("votes"), "path")).alias("__won"))
+    small = won.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    near = summed.join(F.broadcast(won) if small else won, "host")
+    within = lambda path: F.regexp_extract(path, r"(?s)^(.*)/", 1)
+    fair = (within(F.col("path")) == within(F.col("__won.path"))) & (F.col("path") != F.col("__won.path")) & (100 * F.col("votes") >= FAIR * F.col("__won.votes"))
+    beside = near.where(fair).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("beside"))
+    return won.select("host", F.col("__won.path").alias("path")).join(F.broadcast(beside) if small else beside, "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -256,14 +319,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     won = Run(pages.sparkSession, "html").keep(winners(rows))
     small = won.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    aimed = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(won) if small else won, "host", "left").select("page_id", "url", "html", "path")
+    aimed = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(won) if small else won, "host", "left").select("page_id", "url", "html", "path", "beside")
     schema = rows.select("page_id", "url").schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.slice(start, 256)
-                texts = [Page(s or "").text(p) for s, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                texts = [Page(s or "").text(p, b) for s, p, b in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return aimed.mapInArrow(run, schema).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -87,6 +87,43 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "brief article"
 
 
+def test_articles_in_parts_are_whole(spark):
+    """Parts of one path, parts of several paths and headings beside them all belong to the text; what stands beside the article doesn't."""
+    from dispatchery.llm.html import main_text
+
+    say = lambda n, word: (f"{word} " * n)[:n].strip()
+    title, side = "A title of 20 letters", "<div class=teaser><p>another story</p></div>"
+    want, rows = {}, []
+    for i, sizes in enumerate([(1000, 1000), (1000, 400), (1000, 1000, 1000), (2000, 500, 500), (1000, 30)]):
+        texts = [say(n, f"part{k}") for k, n in enumerate(sizes)]
+        same = "".join(f"<section><p>{t}</p></section>" for t in texts)
+        other = "".join(f"<div class=part{chr(97 + k)}><p>{t}</p></div>" for k, t in enumerate(texts))
+        whole = "\n".join([title, *texts])
+        for j, page in enumerate([
+            f"<body>{side}<article><h1>{title}</h1>{same}</article>{side}</body>", f"<body>{side}<article><h1>{title}</h1>{other}</article>{side}</body>",
+            f"<body>{side}<main><h1>{title}</h1>{same}</main>{side}</body>", f"<body>{side}<div id=wrap><h1>{title}</h1>{same}</div>{side}</body>",
+        ]):
+            key = 100 * i + j
+            rows += [(key + 10 * n, f"http://h{key}.com/{n}", page) for n in range(2)]
+            want |= {key + 10 * n: whole for n in range(2)}
+    text = say(1000, "words")
+    for key, around in ((900, "article"), (901, "main"), (902, "div")):
+        rows.append((key, f"http://h{key}.com/", f"<body>{side}<{around}><h1>{title}</h1><div class=content><p>{text}</p></div></{around}>{side}</body>"))
+        want[key] = f"{title}\n{text}"
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_parts_beside_each_other_without_an_article(spark):
+    """Outside of article and main, a host's pages say together which paths make up the text."""
+    from dispatchery.llm.html import main_text
+
+    page = "<body><div class=top><p>tag line</p></div><div class=intro><p>{a}</p></div><div class=rest><p>{b}</p></div></body>"
+    rows = [(i, "http://h.com/x", page.format(a="opening words " * 30, b="all the rest " * 60)) for i in range(3)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {("opening words " * 30).strip() + "\n" + ("all the rest " * 60).strip()}
+
+
 def test_given_pages(spark):
     from dispatchery.llm.html import main_text
 
