@@ -26,7 +26,8 @@ TOKEN = re.compile(
     r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)",
     re.S,
 )
-CLASS = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Attributes from left to right, each with its value, so that names are never found inside values.
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp svg math noframes".split())
 BLOCKS = frozenset(
@@ -139,7 +140,7 @@ class Page:
         up, names, words = self._stack[-1], "", ""
         off = up.off or tag in DROPPED
         if rest and not rest.isspace():
-            for name, value in CLASS.findall(rest):
+            for name, value in ATTRIBUTE.findall(rest):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
                     words += f" {value}"

@@ -124,6 +124,15 @@ def test_parts_beside_each_other_without_an_article(spark):
     assert set(got.values()) == {("opening words " * 30).strip() + "\n" + ("all the rest " * 60).strip()}
 
 
+def test_hidden_is_an_attribute_not_a_value():
+    from dispatchery.llm.html import Page
+
+    for seen in ("href='/hidden-gems'", 'title="The hidden cost"', 'data-state="hidden"', "href=/x/hidden title=hidden", "data-x = hidden", 'title="a class=sidebar role=menu"', "aria-hidden=false"):
+        assert Page(f"<article {seen}><p>kept <a {seen}>link</a> text</p></article>").text(None) == "kept link text", seen
+    for gone in ("hidden", "HIDDEN", 'hidden=""', "title='x' hidden", "title=x hidden/", "aria-hidden='true'", "style='display: none'", 'title="a" class = "sidebar"', "role=menu"):
+        assert Page(f"<article><p>kept</p><div {gone}><p>gone</p></div></article>").text(None) == "kept", gone
+
+
 def test_given_pages(spark):
     from dispatchery.llm.html import main_text
 
