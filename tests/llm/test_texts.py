@@ -180,6 +180,57 @@ def test_decontamination(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
 
 
+def stretches(doc, item):
+    """(equal, length) of the longest stretch of each diagonal that overlaps, by trying all."""
+    need, out = min(len(item), 13), []
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [doc[i + shift] == t for i, t in enumerate(item) if 0 <= i + shift < len(doc)]
+        sums = np.concatenate(([0], np.cumsum(same)))
+        good = [(j - i, int(sums[j] - sums[i])) for i in range(len(same)) for j in range(i + need, len(same) + 1) if 5 * (sums[j] - sums[i]) >= 4 * (j - i)]
+        if good:
+            out.append(max(good)[::-1])
+    return out
+
+
+def test_decontamination_of_short_items(spark):
+    """Substitutions at every place of short items, as many as the share allows and one more, against brute force."""
+    from itertools import combinations
+
+    from dispatchery.llm.decontamination import contaminated
+
+    rng = np.random.default_rng(5)
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in (*range(1, 17), 18, 20, 26)}
+    items |= {100: ["la"] * 14, 101: ["la", "lo"] * 4, 102: [f"w{k}" for k in rng.integers(0, 4, 30)]}
+    docs = []
+    for n, item in items.items():
+        for swaps in range(min(n, n // 5 + 2) if n < 100 else 0):
+            places = list(combinations(range(n), swaps))
+            if len(places) > 500:
+                places = [places[i] for i in rng.choice(len(places), 200, replace=False)]
+            docs += [["x", "y", *("zz" if k in at else t for k, t in enumerate(item)), "v"] for at in places]
+    docs += [[f"w{k}" for k in rng.integers(0, 4, 40)] for _ in range(20)] + [["la"] * 20, ["la", "lo", "la", "li"] * 5, items[26][:11] + ["u"] * 5, items[26][:10] + ["u"] * 5]
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in items.items():
+            if not set(doc).isdisjoint(item) and (found := stretches(doc, item)):
+                want.add((d, i, *max(found)))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    texts = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string").repartition(4)
+    assert {(r.doc_id, r.item_id, r.equal, r.length) for r in contaminated(texts, bench).collect()} == want
+
+
+def test_every_admitted_pattern_is_hit():
+    """All substitutions of 13 to 25 tokens with a share of 0.8 equal; a longer stretch holds one of these by the mean of its parts."""
+    from itertools import combinations
+
+    from dispatchery.llm.decontamination import MASKS, mask_of
+
+    for n in range(1, 26):
+        for swaps in combinations(range(n), n // 5) if n < 17 or n in (20, 25) else ():
+            gone = sum(1 << k for k in swaps)
+            assert any(not int(m, 2) << k & gone for m in (MASKS if n >= 13 else (mask_of(n),)) for k in range(n - len(m) + 1)), (n, swaps)
+
+
 def test_toxicity(spark, awkward):
     from dispatchery.llm.toxicity import Model, drop_toxic, fit, scores
 
