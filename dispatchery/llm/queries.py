@@ -96,6 +96,27 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return digests(table(spark, folder, "documents"))
 
 
+@query("op11_sharding")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.sharding import by_source, shards
+
+    return shards(table(spark, folder, "documents"), by_source())
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.spelling import variants
+
+    return variants(table(spark, folder, "documents"))
+
+
+@query("op13_merkle")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from dispatchery.llm.merkle import manifest
+
+    return manifest(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
