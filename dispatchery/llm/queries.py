@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dispatchery.llm.oracles import MERKLE, SPELLING
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -103,14 +105,14 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return shards(table(spark, folder, "documents"), by_source())
 
 
-@query("op12_spelling")
+@query("op12_spelling", SPELLING)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     from dispatchery.llm.spelling import variants
 
     return variants(table(spark, folder, "documents"))
 
 
-@query("op13_merkle")
+@query("op13_merkle", MERKLE)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     from dispatchery.llm.merkle import manifest
 

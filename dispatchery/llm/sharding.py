@@ -81,7 +81,8 @@ def place(old: np.ndarray, sizes: np.ndarray, flow: np.ndarray, room: list[int])
     """The new shard of every block: large blocks first, each where its old shard's flow has most left, then moves that level the shards.
 
     A move takes the block nearest to half the gap from the fullest to the emptiest shard and makes the
-    gap smaller, so it ends; of equal blocks one that is away from home moves.
+    gap smaller, so it ends; of equal blocks one that is away from home moves. A shard that holds nothing smaller than
+    the gap gives no more.
     """
     rest, target = flow.astype(np.int64), np.zeros(len(sizes), dtype=np.int64)
     for b in np.argsort(-sizes, kind="stable"):
@@ -89,12 +90,15 @@ def place(old: np.ndarray, sizes: np.ndarray, flow: np.ndarray, room: list[int])
         target[b] = int(np.argmax(left))
         left[target[b]] -= sizes[b]
     over = np.bincount(target, weights=sizes, minlength=len(room)).astype(np.int64) - np.array(room, dtype=np.int64)
-    while len(sizes):
-        full, empty = int(np.argmax(over)), int(np.argmin(over))
+    giving = np.ones(len(room), dtype=bool)
+    while giving.any():
+        full, empty = int(np.argmax(np.where(giving, over, np.iinfo(np.int64).min))), int(np.argmin(over))
         gap = over[full] - over[empty]
         there = np.flatnonzero((target == full) & (sizes < gap))
         if not len(there):
-            break
+            # It holds nothing small enough; the shards after it may.
+            giving[full] = False
+            continue
         off = np.abs(2 * sizes[there] - gap)
         near = there[off == off.min()]
         away = near[old[near] != full]
