@@ -172,7 +172,8 @@ def links(run: Run, words: DataFrame, letters: int = 6, limit: int = LIMIT) -> D
     """(word, n_near, form, form_n): how many words are near, and of these the most frequent, ties the first in code-point order."""
     grouped = groups(run, words, letters, limit)
     buckets = grouped.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("_buckets"))
-    dealt = grouped.join(buckets, "m").withColumn("bucket", F.pmod("g", F.col("_buckets"))).select("word", "n", "m", "lo", "hi", "bucket")
+    # One row a length: k lengths need some k * k letters of text, so this stays small.
+    dealt = grouped.join(F.broadcast(buckets), "m").withColumn("bucket", F.pmod("g", F.col("_buckets"))).select("word", "n", "m", "lo", "hi", "bucket")
     parts = dealt.groupBy("m", "bucket").applyInPandas(link, LINKS)
     best = F.min_by(F.struct("form", "form_n"), F.struct(-F.col("form_n"), F.col("form")))
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", "best.form", "best.form_n")
