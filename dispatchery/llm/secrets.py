@@ -20,38 +20,57 @@ ASSIGN_LEAST = 6
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 
-#: Candidate strings and their windows: a run of so many characters or more with a digit in it; bits that a window of
-#: so many characters must reach, by the candidate's character class.
+#: Candidate strings and their windows: a run of so many characters or more; bits that a window of so many characters
+#: must reach, by the candidate's character class: hex digits, letters in both cases, and all else with a digit.
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/=_-]{%d,}" % WINDOW
-HEX_BITS, MIXED_BITS = 3.0, 3.9
-#: Strings that look random but aren't secret: UUIDs, numbers, paths, alphabets and placeholders.
+HEX_BITS, LETTER_BITS, MIXED_BITS = 3.0, 4.1, 3.9
+#: Strings that look random but aren't secret: UUIDs, numbers, paths, names of joined words, alphabets and placeholders.
 ALLOWED = (
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     "^[0-9=_+/-]+$",
-    "^/?[A-Za-z0-9_-]{1,15}(/[A-Za-z0-9_-]{1,15}){2,}/?$",
+    "^/?[A-Za-z0-9_-]{1,15}+(?:/[A-Za-z0-9_-]{1,15}+){2,}+/?$",
+    "^[A-Z]?+[a-z]++(?:[A-Z][a-z]++)*+$",
     "(?i)0123456789|abcdefghij|example|sample|dummy|placeholder|changeme|xxxx",
 )
 
 
+#: Counts of a window's characters are packed: so many to a long, so many bits each (a window has fewer than 32 characters).
+_PACK, _BITS = 12, 5
+
+
 def peak_entropy(value: Column, window: int = WINDOW) -> Column:
-    """Highest Shannon entropy, in bits a character, of any `window` consecutive characters of an ASCII string.
+    """Highest Shannon entropy, in bits a character, of any `window` (below 32) consecutive characters of an ASCII string.
 
     A character entering or leaving changes its own count alone, and with it the sum of c * log2(c).
     """
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+    ones = F.array(*(F.lit(1 << (_BITS * k)).cast("long") for k in range(_PACK)))
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    blank = F.array_repeat(F.lit(0), 128)
+    blank = F.array_repeat(F.lit(0).cast("long"), 128 // _PACK + 1)
     first = F.struct(blank.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
+    def count(counts: Column, code: Column) -> Column:
+        unit = F.get(ones, code % _PACK)
+        return (F.call_function("div", F.get(counts, F.call_function("div", code, F.lit(_PACK)).cast("int")), unit) % (1 << _BITS)).cast("int")
+
+    def moved(counts: Column, code: Column, by: int) -> Column:
+        unit, place = F.get(ones, code % _PACK), F.call_function("div", code, F.lit(_PACK)).cast("int")
+        return F.transform(counts, lambda n, k: F.when(k == place, n + unit * by).otherwise(n))
+
     def step(codes: Column, a: Column, i: Column) -> Column:
-        enters, leaves = F.get(codes, i), F.when(i >= window, F.get(codes, i - window)).otherwise(-1)
-        held, lost = F.get(a["counts"], enters) - F.when(enters == leaves, 1).otherwise(0), F.get(a["counts"], leaves)
-        less = F.when(leaves >= 0, F.get(terms, lost) - F.get(terms, lost - 1)).otherwise(0.0)
-        total = a["sum"] - less + F.get(terms, held + 1) - F.get(terms, held)
-        counts = F.transform(a["counts"], lambda n, k: n + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        bits = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(0.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(a["best"], bits).alias("best"))
+        enters = F.get(codes, i)
+        # What leaves goes first, so that a count is never above the window.
+        less = let(F.get(codes, i - window), lambda c: let(count(a["counts"], c), lambda n: F.struct(
+            moved(a["counts"], c, -1).alias("counts"), (a["sum"] - F.get(terms, n) + F.get(terms, n - 1)).alias("sum"))))
+        kept = F.when(i >= window, less).otherwise(F.struct(a["counts"].alias("counts"), a["sum"].alias("sum")))
+
+        def entered(k: Column) -> Column:
+            total = let(count(k["counts"], enters), lambda n: k["sum"] - F.get(terms, n) + F.get(terms, n + 1))
+            bits = F.when(i >= window - 1, F.lit(math.log2(window)) - total / window).otherwise(0.0)
+            return F.struct(moved(k["counts"], enters, 1).alias("counts"), total.alias("sum"), F.greatest(a["best"], bits).alias("best"))
+
+        return let(kept, entered)
 
     return let(codes, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 1), first, lambda a, i: step(c, a, i), lambda a: a["best"]))
 
@@ -73,11 +92,12 @@ def entropy_spans(text: Column, base: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOWED:
             allowed = allowed | value.rlike(pattern)
-        least = F.when(value.rlike("^[0-9a-fA-F]+$"), HEX_BITS).otherwise(MIXED_BITS)
+        digit, cased = value.rlike("[0-9]"), value.rlike("[a-z]") & value.rlike("[A-Z]")
+        least = F.when(value.rlike("^[0-9a-fA-F]+$"), HEX_BITS).when(digit, MIXED_BITS).otherwise(LETTER_BITS)
         told = F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-        return F.when(~value.rlike("[0-9]") | allowed | told, False).otherwise(peak_entropy(value) >= least)
+        return F.when(~(digit | cased) | allowed | told, False).otherwise(peak_entropy(value) >= least)
 
-    return F.filter(matches(text, CANDIDATE, text.rlike("[0-9]") & text.rlike(CANDIDATE)), secret)
+    return F.filter(matches(text, CANDIDATE, text.rlike(CANDIDATE)), secret)
 
 
 def secrets(docs: DataFrame) -> DataFrame:
