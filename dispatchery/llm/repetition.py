@@ -1,7 +1,8 @@
 """Quality rules by repetition coverage.
 
-Rolling hashes of several n-gram lengths mark the words that lie in an n-gram seen before in the
-same text, and line hashes mark repeated lines; a text fails where too many of its characters are
+Words and lines are numbered by their bytes, so that equality never rests on a hash of long strings. Rolling
+hashes of several n-gram lengths over these numbers mark the words that lie in an n-gram seen before in the
+same text, and line numbers mark repeated lines; a text fails where too many of its characters are
 covered. One pass over the rows, no shuffle; a task holds one chunk of texts at a time.
 """
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchery.llm.words import BASE, Words, chunks, covered, gram_hashes, mix, span_hashes
+from dispatchery.llm.words import BASE, Words, chunks, covered, gram_hashes, mix, numbers
 
 #: Greatest share of a text's word characters inside n-grams seen before, by n (3 or more). One boilerplate line
 #: said twice covers up to 0.14 of a clean text of 70 words, so the limits begin above that.
@@ -47,7 +48,7 @@ def measure(texts: list[bytes], gram_limits: dict[int, float] = GRAM_LIMITS, lin
     words = Words(texts)
     n, size = len(words), len(texts)
     salt = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(BASE))
-    hashes, points = words.hashes(), words.code_points()
+    hashes, points = mix(words.numbers()), words.code_points()
     n_words, word_chars = words.counts, words.per_text(points)
 
     def repeated(length: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,8 @@ def measure(texts: list[bytes], gram_limits: dict[int, float] = GRAM_LIMITS, lin
     with_word = first_word < last_word
     line_starts, line_ends, first_word, last_word = (x[with_word] for x in (line_starts, line_ends, first_word, last_word))
     line_text = words.text[first_word] if len(first_word) else np.zeros(0, np.int64)
-    again = _repeats(span_hashes(words.data, line_starts, line_ends) ^ salt[line_text])[1]
+    lines = [words.raw[a:b] for a, b in zip(line_starts.tolist(), line_ends.tolist())]
+    again = _repeats(mix(numbers(lines)) ^ salt[line_text])[1]
     n_dup_lines = np.bincount(line_text[again], minlength=size)
     total = np.concatenate(([0], np.cumsum(points)))
     in_lines = np.bincount(line_text[again], weights=(total[last_word] - total[first_word])[again], minlength=size)

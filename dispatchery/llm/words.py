@@ -1,13 +1,14 @@
 """Words of many texts at once, as numpy arrays over one byte buffer.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is a maximal run of
-characters other than those six. Word and line hashes are polynomials modulo 2**64, read from prefix
-sums, so no Python code runs per word.
+characters other than those six. Hashes of spans are polynomials modulo 2**64, read from prefix sums, so no
+Python code runs per word; as such polynomials collide on made-up inputs, they only choose and never decide
+equality. Numbers do that: they come from the words themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -32,6 +33,12 @@ def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, li
         yield first, held
 
 
+def numbers(values: Iterable[bytes]) -> np.ndarray:
+    """A number for each value, in order of first appearance: equal values, and no others, have the same."""
+    known: dict[bytes, int] = {}
+    return np.fromiter((known.setdefault(v, len(known)) for v in values), np.uint64)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -90,6 +97,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends)
 
+    def numbers(self) -> np.ndarray:
+        """A number for each word; equal words, and no others, have the same."""
+        return numbers(self.raw.split())
+
     def code_points(self) -> np.ndarray:
         """Code points of each word: bytes that aren't continuation bytes."""
         lead = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
