@@ -8,6 +8,7 @@ rows on the driver; scoring is one pass over the rows without a shuffle.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from dispatchery.llm.words import BASE, Words, chunks, mix
 
 #: Bounds of the fit alone: labelled rows used, and the longest text among them, in characters.
 FIT_ROWS, FIT_CHARS = 2500, 20_000
+#: A fit on fewer rows is warned of.
+FEW_ROWS = 100
 THRESHOLD = 0.7
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
@@ -337,14 +340,17 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Train on at most `rows` labelled documents of at most `chars` characters, chosen by a hash of doc_id; others play no part in the fit."""
+    """Train on at most `rows` labelled documents of at most `chars` characters, chosen by a hash of doc_id among those that have both; others play no part in the fit."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.length(F.coalesce("text", F.lit(""))) <= chars)
+    # The bound is taken of labels that have such a document, so labels of other tables starve no fit.
+    usable = texts.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most `rows` ids, so the broadcast and what the driver reads are bounded.
-    found = texts.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    found = texts.join(F.broadcast(usable), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    if len(found) < FEW_ROWS:
+        warnings.warn(f"only {len(found)} labelled texts to learn toxicity from", stacklevel=2)
     return Model([r["text"] for r in found], [int(r["toxic"] > 0) for r in found])
 
 
