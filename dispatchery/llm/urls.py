@@ -11,6 +11,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dispatchery.llm.runs import Run
+
 #: Fixed values: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Share of the labelled URLs a combination must occur in, share of them that must be blocked, and the largest combination.
@@ -49,11 +51,30 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(scheme, host, path, query))
 
 
+def together(rows: DataFrame, support: float) -> DataFrame:
+    """`items` of rows, cut to frequent tokens, and of tokens that stand in the very same rows to the first by name.
+
+    Such tokens give every rule in as many wordings as they have subsets; one wording fits the same labelled
+    rows. A token's rows are named by their number and two sums of their hashes. At most the tokens a row
+    over `support` are frequent, so the list that all tasks get is bounded.
+    """
+    run = Run(rows.sparkSession, "tokens")
+    kept = run.keep(rows.where(F.size("items") > 0).withColumn("id", F.monotonically_increasing_id()))
+    total = kept.count()
+    each = kept.select("id", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64("id", F.lit(salt)).cast("decimal(38,0)")).alias(f"s{salt}") for salt in (1, 2)))
+    frequent = each.where(F.col("n") >= support * total).withColumn("own", F.when(F.col("token") == BLOCK, 1).otherwise(0))
+    first = frequent.groupBy("own", "n", "s1", "s2").agg(F.min("token").alias("token"))
+    named = kept.select("id", F.explode("items").alias("token")).join(F.broadcast(first.select("token")), "token")
+    return named.groupBy("id").agg(F.collect_list("token").alias("items"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, largest: int = LARGEST) -> DataFrame:
-    """Rules (tokens, rare, confidence) for blocking, from (url, blocked boolean); `rare` is the token of a rule that fewest labelled URLs have."""
+    """Rules (tokens, rare, confidence) for blocking, from (url, blocked boolean); tokens that always occur together count as one. `rare` is the token of a rule that fewest labelled URLs have."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull())
-    items = rows.select(F.concat(url_tokens(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.expr("CAST(array() AS array<string>)"))).alias("items")).where(F.size("items") > 0)
+    tagged = rows.select(F.array_distinct(F.concat(url_tokens(F.col("url")), F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.expr("CAST(array() AS array<string>)")))).alias("items"))
+    items = together(tagged, support)
     if items.isEmpty():
         return spark.createDataFrame([], "tokens array<string>, rare string, confidence double")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
