@@ -8,8 +8,10 @@ path. An article in several parts is read whole. Votes are summed before the shu
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,10 +37,16 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div td body center".split())
-DROPPED = frozenset("nav footer aside form button select option input label fieldset menu dialog head canvas audio video object".split()) | RAW
+DROPPED = frozenset("nav footer aside button select option input label fieldset menu dialog head canvas audio video object".split()) | RAW
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 EDGES = frozenset("ul ol dl table body html article section div td".split())
+#: A class that names what an element has beside its text (page-with-sidebar, has-banner, no-comments) says nothing of the element.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no|is-not)[_-]\S*+", re.I)
+#: Share of a doubted element's text, and characters, that the rest of the page stays below where the element must be the article.
+LITTLE, LEAST = 0.25, 400
+#: Longer paths are written with a digest of what they begin with.
+LONG_PATH = 1000
 #: Words of a class or id that speak against a part of a page, and for one.
 AGAINST = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|nav\w*|menus?|topbar|toolbar|"
@@ -50,25 +58,70 @@ FOR = re.compile(r"article|content|post|entry|story|main|text|body", re.I)
 
 
 class Part:
-    """An element: its tag, generalised path, parent, score, and whether it counts as something else than the article."""
+    """An element: its tag, generalised path, parent, score, and whether it counts as something else than the article.
 
-    __slots__ = ("tag", "path", "up", "score", "off", "good", "closed")
+    `box` is the innermost container around it, itself included; `first` and `last` number the elements it spans.
+    """
+
+    __slots__ = ("tag", "path", "up", "score", "off", "good", "box", "first", "last", "in_article", "doubt")
 
-    def __init__(self, tag: str, path: str, up: Part | None, off: bool, good: bool):
+    def __init__(self, tag: str, path: str, up: Part | None, off: bool, good: bool, first: int = 0):
         self.tag, self.path, self.up, self.off, self.good = tag, path, up, off, good
-        self.score, self.closed = 0.0, False
+        self.score, self.first, self.last = 0.0, first, None
+        self.box = self if tag in CONTAINERS else up.box if up is not None else None
+        self.in_article = tag in ("article", "main") or (up is not None and up.in_article)
+        self.doubt: Doubt | None = up.doubt if up is not None else None
+
+
+class Doubt:
+    """An element that its names or its tag speak against: the text in it and in the articles it holds, and what it stands in."""
+
+    __slots__ = ("number", "up", "chars", "article_chars")
+
+    def __init__(self, number: int, up: Doubt | None):
+        self.number, self.up, self.chars, self.article_chars = number, up, 0, 0
+
+
+def digest(path: str) -> str:
+    return hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
 class Page:
-    """One reading of a page: its containers with scores, and its text blocks in order with the element each stands in."""
+    """One reading of a page: its containers with scores, and its text blocks in order with the element each stands in.
+
+    Elements named like something else than the article are left out. Where one of them turns out to hold what must
+    be the article, the page is read again with that one trusted.
+    """
 
     def __init__(self, source: str):
+        trusted: set[int] = set()
+        while True:
+            self._start(trusted)
+            self._read(source)
+            self._flush()
+            self._end(0)
+            more = self._mistaken()
+            if more is None:
+                return
+            trusted.add(more)
+
+    def _start(self, trusted: set[int]) -> None:
         self.root = Part("", "", None, False, False)
         self.parts: list[Part] = []
         self.blocks: list[tuple[str, Part]] = []
-        self._stack, self._held, self._links = [self.root], [], 0
-        self._read(source)
-        self._flush()
+        self._stack, self._held, self._open_tags = [self.root], [], Counter()
+        self._elements, self._trusted, self._doubts = 0, trusted, []
+        self._seen, self._seen_articles = 0, 0
+
+    def _mistaken(self) -> int | None:
+        """The doubted element that has to be trusted: it holds the page's only article, or all but a little of its text."""
+        best = None
+        for doubt in self._doubts:
+            whole = self._seen_articles == 0 and doubt.article_chars > self._seen
+            if whole or (doubt.chars and self._seen < LITTLE * doubt.chars and self._seen < LEAST):
+                if best is None or doubt.chars > best.chars:
+                    best = doubt
+        return best.number if best else None
 
     def _read(self, source: str) -> None:
         at, end = 0, len(source)
@@ -87,13 +140,26 @@ class Page:
                 self._close(tag)
                 continue
             self._open(tag, found["rest"])
-            if tag in RAW and not found["rest"].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                at = close.end() if close else (end if tag in ("script", "style", "textarea") else at)
+            if tag in RAW:
+                close = None
+                if not found["rest"].endswith("/"):
+                    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                    at = close.end() if close else (end if tag in ("script", "style", "textarea") else at)
                 self._close(tag)
 
     def _text(self, text: str) -> None:
-        self._held.append((text, self._stack[-1]))
+        part = self._stack[-1]
+        self._held.append((text, part))
+        size = len(text) if not text.isspace() else 0
+        if not part.off:
+            self._seen += size
+            self._seen_articles += size if part.in_article else 0
+        elif size:
+            doubt = part.doubt
+            while doubt is not None:
+                doubt.chars += size
+                doubt.article_chars += size if part.in_article else 0
+                doubt = doubt.up
 
     def _flush(self) -> None:
         """End a block: what was gathered becomes one for each part it stands in."""
@@ -109,12 +175,11 @@ class Page:
             at = at.up
         self.blocks.append((text, at))
         worth = max(0.0, len(text) - 2.0 * links)
-        share, near = 1.0, at
-        while near is not None and near.tag and share > 0.05:
-            if near.tag in CONTAINERS:
-                near.score += worth * share * (1.5 if near.good else 1.0)
-                share *= 0.4
-            near = near.up
+        share, near = 1.0, at.box
+        while near is not None and share > 0.05:
+            near.score += worth * share * (1.5 if near.good else 1.0)
+            share *= 0.4
+            near = near.up.box
 
     @staticmethod
     def _within(part: Part, tag: str) -> bool:
@@ -138,7 +203,8 @@ class Page:
         if tag in VOID:
             return
         up, names, words = self._stack[-1], "", ""
-        off = up.off or tag in DROPPED
+        hard, doubted = tag in DROPPED, tag == "form"
+        self._elements += 1
         if rest and not rest.isspace():
             for name, value in ATTRIBUTE.findall(rest):
                 name, value = name.lower(), value.strip("\"'")
@@ -146,33 +212,38 @@ class Page:
                     words += f" {value}"
                     names += "".join(sorted(f".{c}" for c in re.sub(r"\d+", "#", value).split())) if name == "class" else ""
                 elif name == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"):
-                    off = True
+                    hard = True
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    off = True
-        if tag not in ("html", "body", "main") and words and AGAINST.search(words) and tag not in HEADINGS:
-            off = True
-        if tag == "header":
-            # A page's header goes; of one inside an article its headings stay.
-            off = True
-        elif tag in HEADINGS and up.tag == "header" and up.up is not None and not up.up.off and self._in_article(up.up):
+                    hard = True
+        if tag not in ("html", "body", "main") and words and tag not in HEADINGS and AGAINST.search(BESIDE.sub("", words)):
+            doubted = True
+        # A page's header goes; of one inside an article its headings stay.
+        off = up.off or hard or tag == "header" or (doubted and self._elements not in self._trusted)
+        if tag in HEADINGS and not hard and not doubted and up.tag == "header" and up.up is not None and not up.up.off and up.up.in_article:
             off = False
         good = tag in ("article", "main") or bool(words and FOR.search(words))
-        part = Part(tag, f"{up.path}/{tag}{names}" if tag in BLOCKS or tag == "td" else up.path, up, off, good)
+        path = up.path
+        if tag in BLOCKS or tag == "td":
+            step = f"{tag}{names}" if len(names) < LONG_PATH // 2 else f"{tag}#{digest(names)}"
+            path = f"{up.path}/{step}" if len(up.path) + len(step) < LONG_PATH else f"#{digest(up.path)}/{step}"
+        part = Part(tag, path, up, off, good, self._elements)
+        if hard or tag == "header":
+            part.doubt = None
+        elif off and doubted and (not up.off or up.doubt is not None):
+            part.doubt = Doubt(self._elements, up.doubt)
+            self._doubts.append(part.doubt)
+            # An article counts for a doubted element only if it stands within.
+            part.in_article = False
         self._stack.append(part)
+        self._open_tags[tag] += 1
         if tag in CONTAINERS:
             self.parts.append(part)
 
-    @staticmethod
-    def _in_article(part: Part | None) -> bool:
-        while part is not None:
-            if part.tag in ("article", "main"):
-                return True
-            part = part.up
-        return False
-
     def _imply(self, tag: str) -> None:
         """Close what the start of a block closes: an open paragraph or heading, or an earlier item of the same list or row."""
         closes = CLOSES.get(tag, set())
+        if not any(self._open_tags[t] for t in (*closes, *(("p",) if tag in BLOCKS else ()), *(HEADINGS if tag in HEADINGS else ()))):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             name = self._stack[i].tag
             if name in closes or (tag in BLOCKS and name == "p") or (tag in HEADINGS and name in HEADINGS):
@@ -187,11 +258,18 @@ class Page:
     def _pop(self, i: int) -> None:
         if any(p.tag in BLOCKS for p in self._stack[i:]):
             self._flush()
+        self._end(i)
+
+    def _end(self, i: int) -> None:
+        for part in self._stack[i:]:
+            part.last = self._elements
+            self._open_tags[part.tag] -= 1
         del self._stack[i:]
 
     def _close(self, tag: str) -> None:
-        if tag == "p" and not any(p.tag == "p" for p in self._stack):
-            self._flush()
+        if not self._open_tags[tag]:
+            if tag == "p":
+                self._flush()
             return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i].tag == tag:
@@ -264,12 +342,8 @@ class Page:
         return outer is None or least is not None and best >= least
 
     @staticmethod
-    def _below(part: Part | None, top: Part) -> bool:
-        while part is not None:
-            if part is top:
-                return True
-            part = part.up
-        return False
+    def _below(part: Part, top: Part) -> bool:
+        return top.first <= part.first <= top.last
 
 
 def beside_of(path: str) -> str:
