@@ -160,3 +160,45 @@ def test_registered(prefix):
     from dispatchery.llm.queries import QUERIES
 
     assert sum(n.startswith(prefix) for n in QUERIES) == 1
+
+
+LONG = "".join(f"<p>Paragraph {i} of the article has words enough to count as text, and then some more.</p>" for i in range(8))
+WRAPPERS = ["content-sidebar-wrap", "page-with-sidebar", "has-banner", "commentary", "share-story", "post has-comments", "main no-sidebar", "header-wrap"]
+
+
+@pytest.mark.parametrize("inner", [f"<article>{LONG}</article>", LONG, f"<main>{LONG}</main>", f"<section>{LONG}</section>", f'<div class="sidebar">side</div><article>{LONG}</article>'])
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_wrappers_named_after_something_else_keep_their_article(name, inner):
+    from dispatchery.llm.html import Page
+
+    page = Page(f'<html><body><nav>menu item</nav><div class="{name}">{inner}</div><footer>foot text</footer></body></html>')
+    assert page.text(None).splitlines() == [f"Paragraph {i} of the article has words enough to count as text, and then some more." for i in range(8)]
+
+
+def test_elements_around_the_whole_page():
+    from dispatchery.llm.html import Page
+
+    want = [f"Paragraph {i} of the article has words enough to count as text, and then some more." for i in range(8)]
+    assert Page(f'<body><article class="commentary">{LONG}</article></body>').text(None).splitlines() == want
+    assert Page(f"<body><form><div>{LONG}</div><input></form></body>").text(None).splitlines() == want
+    for closed in ("<svg/>", "<script src=x />", "<math/>", "<iframe/>"):
+        assert Page(f"<body><article>{LONG}{closed}{LONG}</article></body>").text(None).splitlines() == want * 2
+
+
+def test_what_is_beside_the_article_stays_out():
+    from dispatchery.llm.html import Page
+
+    for beside in ('<section id="comments"><article>Nice one</article></section>', '<div class="related"><article>Read more</article></div>', '<form class="search"><p>Find</p></form>', '<div class="cookie-notice">Accept</div>'):
+        for article in (f"<article>{LONG}</article>", f"<div class=content>{LONG}</div>"):
+            text = Page(f"<body>{article}{beside}</body>").text(None)
+            assert len(text.splitlines()) == 8 and "Paragraph 7" in text
+
+
+def test_deep_nesting_and_stray_tags_take_linear_room():
+    from dispatchery.llm.html import LONG_PATH, Page
+
+    assert Page("<div>" * 50_000 + "deep text").text(None) == "deep text"
+    paths = Page("<div class=a>text " * 50_000).shares()
+    assert max(map(len, paths)) <= LONG_PATH and len(paths) > 1000
+    assert Page("<div>" * 2000 + "</span>" * 20_000 + "end").text(None) == "end"
+    assert "x" in Page("<b>" * 50_000 + "<p>x</p>" * 2000).text(None)

@@ -293,3 +293,114 @@ def test_empty_tables(spark):
         assert fn(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert scores(none, fit(none, labels)).count() == 0
+
+
+# Hostile rows: strings of the very shape of a pattern, and words that collide in polynomial hashes.
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+SHAPES = ["a1/", "0", "0f", "AKIA0", "a1-", "=_", "token=", "token:'", "Ab1", "aB", "://", "a/", "a.", "http://a/", "a@", "a@b.", "1.", "+1 ", "1 ", "1-", "a=&", "/0", "Ab"]
+
+
+def test_long_strings_of_each_patterns_shape(spark):
+    from dispatchery.llm import pii, secrets, urls
+
+    texts = [s * (1_000_000 // len(s)) for s in SHAPES]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in secrets.digests(rows).collect()}
+    assert {i: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for i, r in got.items()} == {i: (*brute.secrets(t)[0], brute.secrets(t)[1]) for i, t in enumerate(texts)}
+    assert got[0].spans == ""  # one long path
+    assert pii.digests(rows).count() == len(texts)
+    pages = rows.select(rows.doc_id.alias("page_id"), rows.text.alias("url"))
+    assert urls.judge(pages, pages.selectExpr("url", "page_id % 2 = 0 AS blocked")).count() == len(texts)
+
+
+def test_peak_entropy_of_random_strings(spark):
+    import random
+
+    from dispatchery.llm.secrets import peak_entropy
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    strings = ["".join(rng.choice("abcdefXYZ019+/=") for _ in range(n)) for n in (20, 21, 57, 300)] + ["z" * 40, "ab" * 30]
+    want = {s: max(-sum(c / 20 * np.log2(c / 20) for c in np.unique(list(s[i : i + 20]), return_counts=True)[1]) for i in range(len(s) - 19)) for s in strings}
+    got = spark.createDataFrame([(s,) for s in strings], "s string").select("s", peak_entropy(F.col("s")).alias("e")).collect()
+    assert {r.s: r.e for r in got} == pytest.approx(want)
+
+
+def test_letters_in_both_cases_are_a_class(spark):
+    from dispatchery.llm.secrets import digests
+
+    rows = spark.createDataFrame([(1, "key wJalrXUtnFEMIKbPxRfiCYzQ end"), (2, "internationalizationandlocalization TheQuickBrownFoxJumpsOverIt")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in digests(rows).collect()} == {1: "entropy:4:28", 2: ""}
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_repetition_of_colliding_words(spark, size):
+    from dispatchery.llm.repetition import repetition
+
+    one = thue_morse(size)
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one}\n{other}", f"x {one} y q x {other} y", f"{one}\n{other}\n{one}"]
+    got = repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in sorted(got, key=lambda r: r.doc_id)] == [brute.repetition(t) for t in texts]
+
+
+def test_verdict_of_repetition_is_the_share_of_covered_characters(given):
+    from dispatchery.llm.repetition import GRAM_LIMITS, LINE_LIMIT, repetition
+
+    def kept(text):
+        words = brute.WORD.findall(text or "")
+        n_words, chars, _, _, n_repeat = brute.repetition(text)
+        if n_words < 50 or 100 * n_repeat > 50 * n_words:
+            return False
+        for n, limit in GRAM_LIMITS.items():
+            seen, inside = set(), set()
+            for i in range(len(words) - n + 1):
+                gram = tuple(words[i : i + n])
+                if gram in seen:
+                    inside.update(range(i, i + n))
+                seen.add(gram)
+            if sum(len(words[i]) for i in inside) > limit * chars:
+                return False
+        lines, again = set(), 0
+        for line in (text or "").split("\n"):
+            if brute.WORD.search(line):
+                again += sum(map(len, brute.WORD.findall(line))) if line in lines else 0
+                lines.add(line)
+        return again <= LINE_LIMIT * chars
+
+    got = [(r.doc_id, r.kept) for r in repetition(given).collect()]
+    same(got, [(i, kept(t)) for i, t in texts_of(given)])
+
+
+def test_fit_is_not_starved_by_foreign_labels(spark, given):
+    from dispatchery.llm.toxicity import fit
+
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "toxic")
+    foreign = spark.range(10**6, 10**6 + 200_000).selectExpr("id AS doc_id", "cast(id % 2 AS long) AS toxic")
+    one, other = fit(given, labels), fit(given, labels.unionByName(foreign))
+    texts = [t or "" for _, t in texts_of(given)[:40]]
+    held = [t.lower().encode() for t in texts]
+    assert np.array_equal(one.score(held), other.score(held)) and one.net is not None
+
+
+def test_mining_many_shared_tokens_is_bounded(spark):
+    import time
+
+    from dispatchery.llm.urls import blocked_urls, mine
+
+    shared = "/".join(f"part{i}x" for i in range(30))
+    rows = [(f"http://h{i}.com/{shared}/a{i}", True) for i in range(20)] + [(f"http://g{i}.com/b{i}", False) for i in range(20)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    started = time.time()
+    rules = mine(labelled)
+    assert time.time() - started < 30
+    got = {r.url for r in blocked_urls(labelled, rules).collect()}
+    assert got == {u for u, b in rows if b}
