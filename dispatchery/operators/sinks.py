@@ -117,9 +117,15 @@ def coverage_gaps(requested: DataFrame, returned: DataFrame, keys: list[str]) ->
 
 
 def prune(
-    articles: DataFrame, summaries: DataFrame, now: Column, max_age_days: int = K.MAX_AGE_DAYS
+    articles: DataFrame, summaries: DataFrame, now: Column, max_age_days: int = K.MAX_AGE_DAYS, runs: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(kept, dead): articles past the horizon without a summary go; marks that point at them clear."""
+    """(kept, dead): articles past the horizon without a summary go; marks that point at them clear.
+
+    With `runs`, both refuse to be read while one of them is running: the check is part of their plans, so a
+    write that would delete fails in its tasks and leaves what is stored as it is.
+    """
+    if runs is not None:
+        articles = articles.where(F.assert_true(in_flight(runs).agg(F.count(F.lit(1))).scalar() == 0, F.lit(BUSY)).isNull())
     done = summaries.select(F.col("article_id").alias("id"))
     dead = articles.where(F.col("fetched_at") < now - days(max_age_days)).join(done, "id", "left_anti").select("id")
     gone = dead.select(F.col("id").alias("dup_of"), F.lit(True).alias("_gone"))
@@ -131,6 +137,9 @@ def prune(
     return kept, dead
 
 
+BUSY = "a run is in flight; nothing is pruned before it ends"
+
+
 def in_flight(runs: DataFrame) -> DataFrame:
     """Running runs; a prune is refused while there is one."""
     return runs.where(F.col("status") == "running")

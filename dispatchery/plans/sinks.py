@@ -125,13 +125,13 @@ DEAD = """
     SELECT id, title, CASE WHEN dup_of NOT IN ({DEAD}) THEN dup_of END AS dup_of
     FROM marked_articles WHERE id NOT IN ({DEAD})""")
 def s7(a):
-    kept, _ = sinks.prune(a.marked_articles, a.summaries, a.now.scalar())
+    kept, _ = sinks.prune(a.marked_articles, a.summaries, a.now.scalar(), runs=a.runs)
     return kept.select("id", "title", "dup_of")
 
 
 @query("s7_prune_dry_run", f"SELECT count(*) AS dead FROM ({DEAD}) q")
 def s7_dry(a):
-    _, dead = sinks.prune(a.marked_articles, a.summaries, a.now.scalar())
+    _, dead = sinks.prune(a.marked_articles, a.summaries, a.now.scalar(), runs=a.runs)
     return dead.agg(F.count(F.lit(1)).alias("dead"))
 
 

@@ -191,3 +191,22 @@ def test_daily_grants(spark):
     got = health.granted(rows, F.col("at"), "id", 3)
     assert [r["id"] for r in got.where("granted").orderBy("id").collect()] == [d * 24 + i for d in range(5) for i in range(3)]
     assert got.count() == 100
+
+
+def test_prune_is_refused_while_a_run_is_running(spark, tmp_path):
+    from dispatchery.operators import sinks
+
+    articles = spark.createDataFrame([(1, hours(0), None), (2, hours(399), 1)], "id bigint, fetched_at timestamp, dup_of bigint")
+    none = spark.createDataFrame([], "article_id bigint")
+    for status, refused in (("ok", False), ("running", True), (None, False)):
+        runs = spark.createDataFrame([(1, "ok"), (2, status)], "id bigint, status string")
+        kept, dead = sinks.prune(articles, none, F.lit(hours(400)), runs=runs)
+        target = str(tmp_path / f"kept-{status}")
+        if refused:
+            for df in (kept, dead):
+                with pytest.raises(Exception, match="in flight"):
+                    df.write.mode("overwrite").parquet(target)
+            assert not list((tmp_path / f"kept-{status}").glob("*.parquet"))
+        else:
+            kept.write.parquet(target)
+            assert [r["id"] for r in spark.read.parquet(target).collect()] == [2] and [r["id"] for r in dead.collect()] == [1]
