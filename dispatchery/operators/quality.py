@@ -16,18 +16,28 @@ from dispatchery.functions.text import (
 )
 
 
-def story_rows(stories: DataFrame, articles: DataFrame, body_chars: int | None = None) -> DataFrame:
-    """Stories with what a check needs of their bodies: figures and capitalised words.
+def body_facts(articles: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """(article_id, title, body_source, body_numerals, body_capitalised): all that a check needs of an article.
 
-    Bodies are read whole, or to `body_chars` where the summariser saw no more."""
+    Bodies are read whole, or to `body_chars` where the summariser saw no more. The table is narrow, so one that
+    is written once serves every check; an article without a body has no figures and no names."""
     seen = first_chars(F.coalesce(F.col("body_text"), F.lit("")), body_chars)
-    facts = articles.select(
+    return articles.select(
         F.col("id").alias("article_id"), "title", "body_source",
         numeral_values(seen).alias("body_numerals"), capitalised_tokens(seen).alias("body_capitalised"),
     )
+
+
+def with_facts(stories: DataFrame, facts: DataFrame) -> DataFrame:
+    """Stories with their tags parsed and the facts of their bodies beside them."""
     return stories.withColumn("tags", parse_tags(F.col("tags_json"))).join(facts, "article_id")
 
 
+def story_rows(stories: DataFrame, articles: DataFrame, body_chars: int | None = None) -> DataFrame:
+    """Stories with what a check needs of their bodies: figures and capitalised words."""
+    return with_facts(stories, body_facts(articles, body_chars))
+
+
 def share(count: Column, of: Column) -> Column:
     """0.0 for an empty group."""
     return F.when(of > 0, count / F.nullif(of, F.lit(0))).otherwise(F.lit(0.0))
@@ -124,18 +134,30 @@ def importance_distribution(stories: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def published_checks(stories: DataFrame, keys: list[str]) -> DataFrame:
-    """Every check of a group as one nested `checks` record, for storing with a bulletin."""
-    n = F.count(F.lit(1))
-    base = stories.select(
-        *keys, "article_id", "position", "tags", invented().alias("_invented"),
+def story_marks(stories: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep`, article_id, tags and what the checks found in each story: its prose stays behind.
+
+    None of it depends on the bulletin, so marks may be taken of summaries before they meet the bulletins of
+    their day: two versions of a day then share one reading of the prose."""
+    return stories.select(
+        *keep, "article_id", "tags", invented().alias("_invented"),
         present(F.col("key_fact")).alias("_fact"), F.coalesce(fact_kept(), F.lit(False)).alias("_kept"),
         (F.size("body_numerals") > 0).alias("_figured"),
         F.arrays_overlap(numeral_values(prose()), F.col("body_numerals")).alias("_recalled"),
         *[over_budget(f).alias(f"_{f}") for f in K.WORD_BUDGETS],
     )
+
+
+def figures(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, article_id, numerals): the invented figures of marked stories, a row a story that has any."""
+    return marks.where(F.size("_invented") > 0).select(*keys, "article_id", F.col("_invented").alias("numerals"))
+
+
+def checks_of(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, checks): every check of a group of marked stories (with `position`) as one nested record."""
+    n = F.count(F.lit(1))
     facts, figured = F.count_if("_fact"), F.count_if("_figured")
-    main = base.groupBy(*keys).agg(
+    main = marks.groupBy(*keys).agg(
         n.alias("n"),
         F.count("position").alias("n_published"),
         F.struct(
@@ -148,10 +170,10 @@ def published_checks(stories: DataFrame, keys: list[str]) -> DataFrame:
             figured.alias("n_with_numerals"),
             rate(F.count_if(F.col("_figured") & F.col("_recalled")), figured).alias("numeral_recall"),
         ).alias("content"),
-        # How many stories hold an invented figure; the figures themselves stay rows.
+        # How many stories hold an invented figure; the figures themselves are rows of `figures`.
         F.count_if(F.size("_invented") > 0).alias("ungrounded"),
     )
-    tags = tag_vocabulary(stories, keys).select(
+    tags = tag_vocabulary(marks, keys).select(
         *keys, F.struct("distinct", "singleton_share", "in_vocabulary_share").alias("tags")
     )
     empty = F.struct(
@@ -166,15 +188,22 @@ def published_checks(stories: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def stored_or_computed(bulletins: DataFrame, computed: DataFrame) -> DataFrame:
-    """Checks frozen at publication where a bulletin carries them, else the computed ones.
+def published_checks(stories: DataFrame, keys: list[str]) -> DataFrame:
+    """Every check of a group as one nested `checks` record, for storing with a bulletin."""
+    return checks_of(story_marks(stories, [*keys, "position"]), keys)
+
 
-    `bulletins` has (bulletin_id, stored) with `stored` of the checks type, null where missing.
+def stored_or_computed(bulletins: DataFrame, stored: DataFrame, marks: DataFrame) -> DataFrame:
+    """(bulletin_id, checks, at_publish): checks frozen at publication where a bulletin has them, else computed.
+
+    `stored` is (bulletin_id, checks). Only `marks` (bulletin_id, position, marks) of bulletins without stored
+    checks are aggregated; a bulletin without either is absent.
     """
-    return bulletins.join(computed, "bulletin_id", "left").select(
-        "bulletin_id", F.coalesce("stored", "checks").alias("checks"),
-        F.col("stored").isNotNull().alias("at_publish"),
-    )
+    wanted = bulletins.select("bulletin_id")
+    frozen = stored.select("bulletin_id", "checks").where(F.col("checks").isNotNull()).join(wanted, "bulletin_id", "left_semi")
+    missing = wanted.join(frozen, "bulletin_id", "left_anti")
+    computed = checks_of(marks.join(missing, "bulletin_id", "left_semi"), ["bulletin_id"])
+    return frozen.withColumn("at_publish", F.lit(True)).unionByName(computed.withColumn("at_publish", F.lit(False)))
 
 
 def judge_detail(outcomes: DataFrame) -> DataFrame:

@@ -83,9 +83,9 @@ def publish(
 
 
 def publication_gaps(
-    ranked: DataFrame, heads: DataFrame, summaries: DataFrame, valid: DataFrame
+    ranked: DataFrame, heads: DataFrame, summaries: DataFrame, valid: DataFrame, keys: tuple[str, ...] = ("day", "language")
 ) -> DataFrame:
-    """(day, language, summary_id, gap): what stops a ranking from being published. Empty is good."""
+    """(keys, summary_id, gap): what stops a ranking from being published. Empty is good."""
     prose = summaries.select(
         F.col("id").alias("summary_id"), F.col("language").alias("written_in"),
         (present(F.col("title_local")) & present(F.col("summary")) & present(F.col("why_it_matters"))).alias("full"),
@@ -97,14 +97,15 @@ def publication_gaps(
         .when(~F.col("full"), "blank prose")
         .when(F.col("translated").isNull(), "no valid translation")
         .when(present(F.col("reason")) & ~present(F.col("reason_tr")), "reason not translated")
+        .when(~present(F.col("reason")) & present(F.col("reason_tr")), "translated reason of none")
     )
-    of_items = rows.select("day", "language", "summary_id", gap.alias("gap")).where(F.col("gap").isNotNull())
+    of_items = rows.select(*keys, "summary_id", gap.alias("gap")).where(F.col("gap").isNotNull())
     note = (
         F.when(~present(F.col("editor_note")), "no editor note")
         .when(~present(F.col("editor_note_tr")), "editor note not translated")
     )
-    of_heads = heads.join(ranked.select("day", "language").distinct(), ["day", "language"], "left_semi").select(
-        "day", "language", F.lit(None).cast("bigint").alias("summary_id"), note.alias("gap")
+    of_heads = heads.join(ranked.select(*keys).distinct(), list(keys), "left_semi").select(
+        *keys, F.lit(None).cast("bigint").alias("summary_id"), note.alias("gap")
     ).where(F.col("gap").isNotNull())
     return of_items.unionByName(of_heads)
 

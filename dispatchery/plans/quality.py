@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dispatchery import constants as K
@@ -11,6 +13,8 @@ from dispatchery.operators import quality, reading, sampling
 from dispatchery.plans.reading import DAY_STORIES, r6
 from dispatchery.plans.registry import query
 from dispatchery.plans.views_sql import quoted, scatter_sql
+from dispatchery.session import ensure_checkpoint_dir
+from dispatchery.sources.publications import Publications
 
 KEY = ["bulletin_id"]
 
@@ -26,7 +30,13 @@ def tokens_sql(col: str) -> str:
 
 
 def stories(a):
-    return quality.story_rows(reading.day_stories(a.bulletins, a.items, a.summaries), a.bodies)
+    return quality.with_facts(reading.day_stories(a.bulletins, a.items, a.summaries), a.facts)
+
+
+def marks(a, bulletins=None):
+    """Marked stories of bulletins; a summary is marked once, not once a bulletin that shows it."""
+    marked = quality.story_marks(quality.with_facts(a.summaries, a.facts), ["id", "day", "language"])
+    return reading.day_stories(a.bulletins if bulletins is None else bulletins, a.items, marked)
 
 
 def light(a):
@@ -144,10 +154,10 @@ def a20(a):
     return found.select("bulletin_id", *[r6(f"share_{k}").alias(f"share_{k}") for k in range(1, 6)])
 
 
-def flat_checks(checks):
+def flat_checks(checks, *more):
     c = "checks.{}"
     return checks.select(
-        "bulletin_id", F.col(c.format("n")).alias("n"), F.col(c.format("n_published")).alias("n_published"),
+        "bulletin_id", *more, F.col(c.format("n")).alias("n"), F.col(c.format("n_published")).alias("n_published"),
         *[F.col(f"checks.budget.{f}_over").alias(f"{f}_over") for f in K.WORD_BUDGETS],
         *[r6(f"checks.content.{f}").alias(f) for f in ("key_fact_share", "key_fact_kept", "numeral_recall")],
         F.col("checks.ungrounded").alias("ungrounded"), F.col("checks.tags.distinct").alias("distinct_tags"),
@@ -156,16 +166,18 @@ def flat_checks(checks):
 
 @query("a21_published_checks")
 def a21(a):
-    return flat_checks(quality.published_checks(stories(a), KEY))
+    return flat_checks(quality.checks_of(marks(a), KEY))
 
 
 @query("a21_stored_or_computed")
 def a21_stored(a):
-    """Even bulletins carry stored checks, the others are computed."""
-    computed = quality.published_checks(stories(a), KEY)
-    kept = computed.select("bulletin_id", F.when(F.col("bulletin_id") % 2 == 0, F.col("checks")).alias("stored"))
-    both = quality.stored_or_computed(kept, computed)
-    return flat_checks(both).join(both.select("bulletin_id", "at_publish"), "bulletin_id")
+    """The checks of even bulletins are frozen in a publication first; those of the others are computed."""
+    even = quality.checks_of(marks(a, a.bulletins.where("id % 2 = 0")), KEY)
+    shelf = Publications(a.spark, f"{ensure_checkpoint_dir(a.spark)}/frozen-{uuid.uuid4().hex}")
+    shelf.commit("even", {"checks": even})
+    wanted = a.bulletins.select(F.col("id").alias("bulletin_id"))
+    both = quality.stored_or_computed(wanted, shelf.read("checks", even.schema), marks(a))
+    return flat_checks(both, "at_publish")
 
 
 @query("a22_judge_tallies", """
@@ -210,7 +222,7 @@ def a25(a):
     sides = a.summaries.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumns({
         "summary": F.when(F.col("side") == "a", F.col("summary")).otherwise(F.regexp_extract("summary", r"^[^.]*", 0)),
         "position": F.lit(None).cast("int")})
-    answered = quality.story_rows(sides.where("side = 'a' OR id % 13 <> 0"), a.bodies)
+    answered = quality.with_facts(sides.where("side = 'a' OR id % 13 <> 0"), a.facts)
     spent = sides.groupBy("side").agg(
         F.count_if((F.col("side") == "b") & (F.col("id") % 13 == 0)).alias("failures"),
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
@@ -219,10 +231,12 @@ def a25(a):
 
 
 def report(a):
-    checks = quality.published_checks(stories(a), KEY)
-    counts = reading.verdict_counts(reading.day_stories(a.bulletins, a.items, a.summaries), a.verdicts)
     since = a.bulletins.agg((F.max("created_at") - F.expr("interval 30 days")).alias("t")).scalar()
-    return quality.report_rows(a.bulletins, checks, counts, since)
+    # The window comes first: nothing of an older bulletin is read.
+    shown = a.bulletins.where(F.col("created_at") >= since)
+    checks = quality.checks_of(marks(a, shown), KEY)
+    counts = reading.verdict_counts(reading.day_stories(shown, a.items, a.summaries.select("id", "day", "language")), a.verdicts)
+    return quality.report_rows(shown, checks, counts, since)
 
 
 @query("a27_report_rows")

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from dispatchery.functions.hashing import content_hash
 from dispatchery.functions.urls import canonical_url
-from dispatchery.operators import curation, exchange, ledger, quality, ranking, reading, sinks
+from dispatchery.operators import curation, exchange, ledger, publication, ranking, reading, sinks
 from dispatchery.plans.columns import LINKS, pages_and_links
 from dispatchery.plans.reading import DAY_STORIES, VALID, r6
 from dispatchery.plans.registry import ORACLES, query
 from dispatchery.plans.views_sql import BAND, DAY
 from dispatchery.session import cut, ensure_checkpoint_dir
+from dispatchery.sources.archive import MODELS
+from dispatchery.sources.publications import Publications
 from dispatchery.sources.store import read_lines, write_lines
 
 
@@ -309,33 +311,80 @@ def k6_rewritten(a):
     return stand.select("summary_id")
 
 
-@query("k4_publish_flow")
-def k4(a):
-    """Rank every day, keep the days without gaps, publish them, check them, and add up their cost."""
+def rehearsal(a):
+    """Runs over the archive: one a day, with retried answers, failed branches, calls and errors.
+
+    Every fourth summary was answered twice, of which the later answer counts; those with id % 13 = 0 failed once
+    before; a day's readings and translations were calls. A story with id % 97 = 0 has no translation, so the run
+    that picked it is refused.
+    """
+    def run_of(day):
+        return (F.lit(1_000_000) + F.datediff(F.to_date(day), F.lit("2024-01-01").cast("date"))).cast("bigint").alias("run_id")
+
     notes = a.readings.select("day", "pass").distinct().withColumn("note", F.concat(F.lit("note "), F.col("day")))
     pools = a.summaries.where("relevant").groupBy("day").agg(F.count(F.lit(1)).alias("pool"))
     # Each stage is written before the next one reads it: a lost job restarts from the last table.
     items, days = (cut(t) for t in ranking.aggregate(a.readings, notes, pools, ["day"]))
-    order = items.withColumn("language", F.lit("en")).withColumn("reason_tr", F.concat(F.lit("TR "), F.col("reason")))
-    top = days.select("day", F.lit("en").alias("language"), "editor_note",
-                      F.concat(F.lit("TR "), F.col("editor_note")).alias("editor_note_tr"), "agreement",
-                      F.lit(None).cast("bigint").alias("run_id"))
-    # Translations made for this publication stand beside the cached ones.
-    made = a.summaries.select("id", *[F.concat(F.lit("TR "), F.col(c)).alias(f"{c}_tr") for c in ("title_local", "summary", "why_it_matters")])
-    gaps = sinks.publication_gaps(order, top, a.summaries, made)
-    ready = order.join(gaps.select("day", "language").distinct(), ["day", "language"], "left_anti")
-    bulletins, rows = (cut(t) for t in sinks.publish(a.bulletins, ready, top, a.now.scalar()))
-    stories = quality.story_rows(reading.day_stories(bulletins, rows, a.summaries), a.articles)
-    checks = quality.published_checks(stories, ["bulletin_id"])
-    charged = reading.day_stories(bulletins, rows, a.summaries).select(
-        F.col("bulletin_id").alias("run_id"), F.col("id").alias("summary_id"), F.lit(1).alias("seq"), "model", "tokens_in", "tokens_out")
-    empty = charged.where("false").select("run_id", "model", "tokens_in", "tokens_out")
-    bill = ledger.run_ledger(charged, empty, empty, empty.select("run_id", F.col("model").alias("error")))
-    counts = rows.groupBy("bulletin_id").agg(F.count(F.lit(1)).alias("n_items"))
-    return (
-        bulletins.select(F.col("id").alias("bulletin_id"), "day", "version", r6("agreement").alias("agreement"))
-        .join(counts, "bulletin_id").join(checks, "bulletin_id")
-        .join(bill.withColumnRenamed("run_id", "bulletin_id"), "bulletin_id")
-        .select("bulletin_id", "day", "version", "agreement", "n_items", F.col("checks.n").alias("n"),
-                F.col("checks.ungrounded").alias("ungrounded"), "n_summarized", r6("est_cost_usd").alias("est_cost_usd"))
+    i, day = F.col("id"), F.col("day")
+    answers = a.summaries.withColumn("seq", F.explode(F.when(i % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    failed = a.summaries.where(i % 13 == 0)
+    readings = a.readings.groupBy("day", "pass").agg((F.count(F.lit(1)) * 100).alias("tokens_in")).select(
+        run_of(day), F.lit("rank").alias("node"), F.lit(MODELS[1]).alias("model"), "tokens_in", F.col("pass").cast("bigint").alias("tokens_out"))
+    translated = items.select(
+        run_of(day), F.lit("translate").alias("node"), F.lit(MODELS[2]).alias("model"), F.lit(300).cast("bigint").alias("tokens_in"),
+        F.lit(200).cast("bigint").alias("tokens_out"))
+    return {
+        "runs": a.summaries.groupBy("day").agg(F.count(F.lit(1)).alias("n_new")).select(
+            run_of(day), (F.col("n_new") + 5).alias("n_collected"), "n_new"),
+        "ranked": items.select(run_of(day), "summary_id", "position", "tier", "reason",
+                               F.concat(F.lit("TR "), F.col("reason")).alias("reason_tr")),
+        "heads": days.select(run_of(day), "day", F.lit("en").alias("language"), "editor_note",
+                             F.concat(F.lit("TR "), F.col("editor_note")).alias("editor_note_tr"), "agreement",
+                             F.lit(MODELS[1]).alias("model_rank")),
+        "summaries": a.summaries,
+        "valid": a.summaries.where(i % 97 != 0).select(
+            "id", *[F.concat(F.lit("TR "), F.col(c)).alias(f"{c}_tr") for c in ("title_local", "summary", "why_it_matters")]),
+        "facts": a.facts,
+        "payloads": answers.select(run_of(day), i.alias("summary_id"), "seq", "model", (F.col("tokens_in") + F.col("seq")).alias("tokens_in"),
+                                   "tokens_out"),
+        "failures": failed.select(run_of(day), "model", "tokens_in", F.lit(0).cast("bigint").alias("tokens_out")),
+        "calls": readings.unionByName(translated),
+        "errors": failed.select(run_of(day), i.alias("seq"), F.concat(F.lit("no answer for "), i.cast("string")).alias("error")),
+    }
+
+
+RUN_SCHEMA = "run_id bigint"
+
+
+@query("k4_publish_flow")
+def k4(a):
+    """Rank every day, refuse the runs with gaps, store the rest with their checks and bills, and read them back.
+
+    What is stored is committed at once, and a second run over the same ids adds nothing.
+    """
+    now, given = a.now.scalar(), rehearsal(a)
+    held = {"bulletins": a.bulletins, "runs": a.spark.createDataFrame([], RUN_SCHEMA)}
+    shelf = Publications(a.spark, f"{ensure_checkpoint_dir(a.spark)}/press-{uuid.uuid4().hex}")
+    tables, gaps = publication.prepare(held, **given, now=now)
+    shelf.commit("press", tables, optional=("checks", "figures"))
+    stored = {name: shelf.read(name, tables[name].schema) for name in publication.PARTS}
+    held = {"bulletins": a.bulletins.select("id", "day", "language", "version").unionByName(
+        stored["bulletins"].select("id", "day", "language", "version")), "runs": stored["runs"]}
+    again, _ = publication.prepare(held, **given, now=now)
+    shelf.commit("again", again, optional=("checks", "figures"))
+    stored = {name: shelf.read(name, tables[name].schema) for name in publication.PARTS}
+    n_items = stored["items"].groupBy("bulletin_id").agg(F.count(F.lit(1)).alias("n_items"))
+    invented = stored["figures"].groupBy("bulletin_id").agg(F.sum(F.size("numerals")).alias("n_invented"))
+    published = (
+        stored["bulletins"].withColumnRenamed("id", "bulletin_id").withColumnRenamed("est_cost_usd", "rank_cost")
+        .join(n_items, "bulletin_id").join(stored["checks"], "bulletin_id", "left").join(invented, "bulletin_id", "left")
+        .select("run_id", "bulletin_id", "day", "version", "agreement", "rank_cost", "n_items", "checks", "n_invented")
     )
+    refused = gaps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_gaps"))
+    return given["runs"].select("run_id").join(stored["runs"], "run_id", "left").join(published, "run_id", "left").join(
+        refused, "run_id", "left").select(
+        "run_id", "bulletin_id", "day", "version", r6("agreement").alias("agreement"), "n_items",
+        F.col("checks.n").alias("n"), F.col("checks.n_published").alias("n_published"), F.col("checks.ungrounded").alias("ungrounded"),
+        F.coalesce("n_invented", F.lit(0)).alias("n_invented"), F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"),
+        "n_collected", "n_new", "n_summarized", "tokens_in", "tokens_out", r6("est_cost_usd").alias("est_cost_usd"),
+        r6("rank_cost").alias("rank_cost"), "status", F.length("error").alias("error_chars"))

@@ -1,11 +1,12 @@
 """The engine's tables, derived from the given parquet tables.
 
-Every view is a lazy DataFrame over whole tables. Only what a press would have stored (bulletins
-and their items) is written once per archive, to the shared checkpoint folder, and read from there.
+Every view is a lazy DataFrame over whole tables. Only what a press would have stored (bulletins,
+their items, the facts of bodies) is written once per archive, to the shared checkpoint folder, and read from there.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +17,8 @@ from dispatchery.functions.calendar import day_end, local_day
 from dispatchery.functions.hashing import content_hash, scatter
 from dispatchery.functions.money import cost
 from dispatchery.functions.text import literal_array
-from dispatchery.operators import ranking
-from dispatchery.session import cut, spread
+from dispatchery.operators import quality, ranking
+from dispatchery.session import cut, ensure_checkpoint_dir, spread
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 MODELS = tuple(K.PRICES)
@@ -98,6 +99,13 @@ class Archive:
         """Articles for work that reads whole texts."""
         return spread(self.articles)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Figures and names of every body: written once, so each body is parsed once however many checks read it."""
+        path = f"{ensure_checkpoint_dir(self.spark)}/facts-{uuid.uuid4().hex}"
+        quality.body_facts(self.bodies).write.parquet(path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def marked_articles(self) -> DataFrame:
         """Articles with `dup_of`: the first id that carried the very same title."""

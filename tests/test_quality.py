@@ -76,9 +76,56 @@ def test_published_checks_hold_the_single_checks(stories):
 
 def test_frozen_checks_win(spark, stories):
     computed = quality.published_checks(stories, ["bulletin_id"])
-    frozen = computed.select("bulletin_id", F.when(F.col("bulletin_id") == 1, F.col("checks").withField("n", F.lit(99).cast("bigint"))).alias("stored"))
-    got = {r["bulletin_id"]: (r["checks"]["n"], r["at_publish"]) for r in quality.stored_or_computed(frozen, computed).collect()}
-    assert got == {1: (99, True), 2: (1, False)}
+    frozen = computed.where("bulletin_id = 1").withColumn("checks", F.col("checks").withField("n", F.lit(99).cast("bigint")))
+    blank = computed.where("bulletin_id = 2").withColumn("checks", F.when(F.lit(False), F.col("checks")))
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "bulletin_id bigint")
+    marks = quality.story_marks(stories, ["bulletin_id", "position"])
+    got = quality.stored_or_computed(asked, frozen.unionByName(blank), marks).collect()
+    assert {r["bulletin_id"]: (r["checks"]["n"], r["at_publish"]) for r in got} == {1: (99, True), 2: (1, False)}
+
+
+def test_figures_of_marked_stories(stories):
+    marks = quality.story_marks(stories, ["bulletin_id"])
+    got = {(r["bulletin_id"], r["article_id"]): r["numerals"] for r in quality.figures(marks, ["bulletin_id"]).collect()}
+    assert got == {(1, 1): ["500"], (2, 4): ["13000000000"]}
+
+
+def test_sides_beside_each_other(spark, stories):
+    sides = stories.withColumn("side", F.when(F.col("bulletin_id") == 1, "a").otherwise("b"))
+    spend = spark.createDataFrame([("a", 0, 10, 20, 0.5), ("b", 3, 1, 2, 0.25)],
+                                  "side string, failures bigint, tokens_in bigint, tokens_out bigint, est_cost_usd double")
+    got = {r["measure"]: (r["a"], r["b"]) for r in quality.compare_sides(sides, spend).collect()}
+    half = pytest.approx(0.5)
+    assert got == {
+        "n": (3, 1), "failures": (0, 3), "summary_over": (1, 0), "why_it_matters_over": (1, 0), "title_local_over": (1, 0),
+        "key_fact_share": (pytest.approx(2 / 3), 0), "key_fact_kept": (half, None), "numeral_recall": (half, 0), "ungrounded": (1, 1),
+        "distinct_tags": (3, 1), "singleton_share": (pytest.approx(2 / 3), 1), "in_vocabulary_share": (pytest.approx(1 / 4), 0),
+        "tokens_in": (10, 1), "tokens_out": (20, 2), "est_cost_usd": (half, pytest.approx(0.25))}
+
+
+def test_sides_where_one_answered_nothing(spark, stories):
+    only = stories.withColumn("side", F.lit("a"))
+    spend = spark.createDataFrame([("a", 0, 1, 1, 0.0), ("b", 4, 7, 0, 0.1)],
+                                  "side string, failures bigint, tokens_in bigint, tokens_out bigint, est_cost_usd double")
+    got = {r["measure"]: (r["a"], r["b"]) for r in quality.compare_sides(only, spend).collect()}
+    assert got["n"] == (4, None) and got["failures"] == (0, 4) and got["tokens_in"] == (1, 7)
+
+
+def test_report_marks_repeats_inside_the_window(spark, stories):
+    import datetime as dt
+    day = lambda n: dt.datetime(2024, 1, n)
+    bulletins = spark.createDataFrame(
+        [(1, "2024-01-01", 1, "en", 0.5, day(1)), (2, "2024-01-20", 1, "en", 0.5, day(20)), (3, "2024-01-20", 2, "en", 0.5, day(21)),
+         (4, "2024-01-21", 1, "en", 0.5, day(22)), (5, "2024-01-22", 1, "en", 0.5, day(22))],
+        "id bigint, day string, version int, language string, agreement double, created_at timestamp")
+    second = stories.where("bulletin_id = 2").drop("bulletin_id")
+    same = second.crossJoin(spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "bulletin_id bigint"))
+    # Bulletins 2, 3 and 5 measure alike, 4 has a wrong call; 1 is alike too, but older than the window.
+    checks = quality.published_checks(same, ["bulletin_id"])
+    calls = spark.createDataFrame([(4, 1, 1, 0, 0, 0)], "bulletin_id bigint, wrong bigint, " + ", ".join(f"{r} bigint" for r in K.REASONS))
+    rows = quality.report_rows(bulletins, checks, calls, F.lit(day(15))).collect()
+    assert {r["bulletin_id"]: (r["wrong"], r["repeats"]) for r in rows} == {
+        2: (0, False), 3: (0, True), 4: (1, False), 5: (0, True)}
 
 
 def test_calibration(spark):
