@@ -18,6 +18,9 @@ CORPUS_SCHEMA = (
 )
 
 
+RECORD_SCHEMA = 1
+
+
 def freeze_corpus(
     articles: DataFrame, sources: DataFrame, size: int = 40, seed: int = 0,
     body_chars: int | None = None, extra_chars: int | None = None,
@@ -33,30 +36,33 @@ def freeze_corpus(
     )
 
 
-def record_bulletins(bulletins: DataFrame, stories: DataFrame, duplicates: DataFrame) -> DataFrame:
+def record_bulletins(bulletins: DataFrame, stories: DataFrame, duplicates: DataFrame, top_n: int = K.TOP_N) -> DataFrame:
     """(bulletin_id, part, place, body): a bulletin as JSON lines.
 
     One line for the header, one a story in reading order, one a duplicate pair: a day of any size
-    is written by many tasks, and a reader orders by (part, place). No body text is recorded.
+    is written by many tasks, and a reader orders by (part, place). No body text is recorded, only the
+    figures and names found in it. `bulletins` carries model_summarize and model_rank, `stories` source, weight and facts;
+    a field that is null is written as null.
     """
+    def line(*columns):
+        return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("body")
+
     header = bulletins.select(
         F.col("id").alias("bulletin_id"), F.lit("header").alias("part"), F.lit(0).cast("bigint").alias("place"),
-        F.to_json(F.struct(
-            "day", "version", "language", "agreement", "run_id", "editor_note",
-            F.unix_seconds("created_at").alias("published_at"), F.lit(K.TOP_N).alias("top_n"),
-        )).alias("body"),
+        line(F.lit(RECORD_SCHEMA).alias("schema"), F.col("id").alias("bulletin_id"), "day", "version", "language", "agreement",
+             F.unix_seconds("created_at").alias("published_at"), "run_id", "model_summarize", "model_rank",
+             F.lit(top_n).alias("top_n"), "editor_note"),
     )
     story = reading_order(stories).select(
         "bulletin_id", F.lit("story").alias("part"), F.col("place").cast("bigint").alias("place"),
-        F.to_json(F.struct(
-            "article_id", "title_local", "summary", "why_it_matters", "tags_json", "importance", "key_fact",
-            "relevant", "kind", "position", "tier", "reason",
-        )).alias("body"),
+        line("article_id", "source", "weight", "title", "title_local", "summary", "why_it_matters", "tags", "importance", "key_fact",
+             "relevant", "kind", "position", "tier", "reason", F.array_sort("body_numerals").alias("body_numerals"),
+             F.array_sort("body_capitalised").alias("body_capitalised"), "body_source"),
     )
     of_story = stories.select("bulletin_id", F.col("article_id").alias("dup_of"))
     pair = duplicates.join(of_story, "dup_of").select(
         "bulletin_id", F.lit("duplicate").alias("part"), F.col("article_id").alias("place"),
-        F.to_json(F.struct("article_id", "dup_of", "title", "dup_of_title")).alias("body"),
+        line("article_id", "dup_of", "title", "dup_of_title"),
     )
     return header.unionByName(story).unionByName(pair)
 

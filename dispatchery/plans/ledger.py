@@ -103,14 +103,17 @@ def j15(a):
         "run_id", F.unix_seconds("span_start").alias("span_start"), F.unix_seconds("span_end").alias("span_end"))
 
 
-@query("j16_models_used", """
+MODELS_RUN = """
     SELECT r.id, coalesce(CASE WHEN r.id % 3 = 0 THEN 'gpt-5.6-sol' END, s.model, 'gpt-6-luna') AS model_summarize,
       coalesce(k.model, 'gpt-6-luna') AS model_rank
     FROM runs r
     LEFT JOIN (SELECT run_id, arg_max(model, started_at) AS model FROM run_steps
       WHERE model <> '' AND node = 'summarize' GROUP BY run_id) s ON s.run_id = r.id
     LEFT JOIN (SELECT run_id, arg_max(model, started_at) AS model FROM run_steps
-      WHERE model <> '' AND node = 'rank' GROUP BY run_id) k ON k.run_id = r.id""")
+      WHERE model <> '' AND node = 'rank' GROUP BY run_id) k ON k.run_id = r.id"""
+
+
+@query("j16_models_used", MODELS_RUN)
 def j16(a):
     runs = a.runs.select("id", F.when(F.col("id") % 3 == 0, "gpt-5.6-sol").alias("model_summarize"),
                          F.lit(None).cast("string").alias("model_rank"))

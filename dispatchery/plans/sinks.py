@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from dispatchery import constants as K
 from dispatchery.functions.hashing import content_hash
 from dispatchery.functions.urls import canonical_url
-from dispatchery.operators import curation, exchange, ledger, publication, ranking, reading, sinks
+from dispatchery.operators import curation, exchange, ledger, publication, quality, ranking, reading, sinks
 from dispatchery.plans.columns import LINKS, pages_and_links
+from dispatchery.plans.ledger import MODELS_RUN
 from dispatchery.plans.reading import DAY_STORIES, VALID, r6
 from dispatchery.plans.registry import ORACLES, query
 from dispatchery.plans.views_sql import BAND, DAY
@@ -169,11 +171,48 @@ def s9(a):
     UNION ALL SELECT q.bulletin_id, 'duplicate', m.id, m.id FROM ({DAY_STORIES}) q JOIN marked_articles m ON m.dup_of = q.id
     UNION ALL SELECT id, 'header', 0, NULL FROM bulletins""")
 def s10(a):
-    stories = reading.day_stories(a.bulletins, a.items, a.summaries)
+    return record(a).select("bulletin_id", "part", "place", F.get_json_object("body", "$.article_id").cast("bigint").alias("article_id"))
+
+
+def record(a):
+    """Every bulletin as recorded lines: with the models of its run, and facts and source of each story."""
+    runs = a.runs.select("id", F.when(F.col("id") % 3 == 0, MODELS[3]).alias("model_summarize"), F.lit(None).cast("string").alias("model_rank"))
+    models = ledger.models_used(runs, a.run_steps).withColumnRenamed("id", "run_id")
+    known = F.col("model_rank").isNotNull()
+    headed = a.bulletins.join(models, "run_id", "left").withColumns({
+        "run_id": F.when(known, F.col("run_id")),
+        **{c: F.coalesce(c, F.lit(K.DEFAULT_MODEL)) for c in ("model_summarize", "model_rank")}})
+    named = a.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"), "weight")
+    stories = quality.with_facts(reading.day_stories(a.bulletins, a.items, a.summaries), a.facts).join(named, "source_id")
     kept = a.articles.select(F.col("id").alias("dup_of"), F.col("title").alias("dup_of_title"))
     pairs = a.marked_articles.where("dup_of IS NOT NULL").select(F.col("id").alias("article_id"), "dup_of", "title").join(kept, "dup_of")
-    lines = exchange.record_bulletins(a.bulletins, stories, pairs)
-    return lines.select("bulletin_id", "part", "place", F.get_json_object("body", "$.article_id").cast("bigint").alias("article_id"))
+    return exchange.record_bulletins(headed, stories, pairs)
+
+
+@query("s10_record_headers", f"""
+    SELECT b.id AS bulletin_id, b.day, b.version, b.language, round(b.agreement, 6) AS agreement, m.id AS run_id, b.editor_note,
+      CAST(epoch(b.created_at) AS BIGINT) AS published_at, coalesce(m.model_summarize, 'gpt-6-luna') AS model_summarize,
+      coalesce(m.model_rank, 'gpt-6-luna') AS model_rank, 15 AS top_n
+    FROM bulletins b LEFT JOIN ({MODELS_RUN}) m ON m.id = b.run_id""")
+def s10_headers(a):
+    read = "day string, version int, language string, agreement double, run_id bigint, editor_note string, published_at bigint, " \
+           "model_summarize string, model_rank string, top_n int"
+    return record(a).where("part = 'header'").select("bulletin_id", F.from_json("body", read).alias("h")).select(
+        "bulletin_id", "h.*").withColumn("agreement", r6("agreement"))
+
+
+@query("s10_record_fields", f"""
+    SELECT q.bulletin_id, s.article_id, o.name AS source, o.weight, a.title, s.title_local, md5(s.summary) AS summary,
+      md5(s.why_it_matters) AS why_it_matters, s.tags_json AS tags, s.importance, s.key_fact, s.relevant, s.kind, q.position, i.tier, i.reason,
+      a.body_source
+    FROM ({DAY_STORIES}) q JOIN summaries s ON s.id = q.id JOIN articles a ON a.id = s.article_id JOIN sources o ON o.id = s.source_id
+    LEFT JOIN items i ON i.bulletin_id = q.bulletin_id AND i.summary_id = q.id""")
+def s10_fields(a):
+    read = "article_id bigint, source string, weight double, title string, title_local string, summary string, why_it_matters string, " \
+           "tags array<string>, importance int, key_fact string, relevant boolean, kind string, position int, tier string, reason string, " \
+           "body_source string"
+    return record(a).where("part = 'story'").select("bulletin_id", F.from_json("body", read).alias("s")).select("bulletin_id", "s.*").withColumns(
+        {"summary": F.md5("summary"), "why_it_matters": F.md5("why_it_matters"), "tags": F.to_json("tags")})
 
 
 def slice_tables(a):
