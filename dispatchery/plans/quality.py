@@ -13,7 +13,7 @@ from dispatchery.operators import quality, reading, sampling
 from dispatchery.plans.reading import DAY_STORIES, r6
 from dispatchery.plans.registry import query
 from dispatchery.plans.views_sql import quoted, scatter_sql
-from dispatchery.session import ensure_checkpoint_dir
+from dispatchery.session import ensure_checkpoint_dir, spread
 from dispatchery.sources.publications import Publications
 
 KEY = ["bulletin_id"]
@@ -35,14 +35,14 @@ def stories(a):
 
 def marks(a, bulletins=None):
     """Marked stories of bulletins; a summary is marked once, not once a bulletin that shows it."""
-    marked = quality.story_marks(quality.with_facts(a.summaries, a.facts), ["id", "day", "language"])
+    marked = quality.story_marks(quality.with_facts(spread(a.summaries), a.facts), ["id", "day", "language"])
     return reading.day_stories(a.bulletins if bulletins is None else bulletins, a.items, marked)
 
 
 def light(a):
     """Stories without anything read from bodies."""
     from dispatchery.functions.text import parse_tags
-    return reading.day_stories(a.bulletins, a.items, a.summaries).withColumn("tags", parse_tags(F.col("tags_json")))
+    return reading.day_stories(a.bulletins, a.items, spread(a.summaries)).withColumn("tags", parse_tags(F.col("tags_json")))
 
 
 FULL = f"SELECT q.bulletin_id, q.position, s.* FROM ({DAY_STORIES}) q JOIN summaries s ON s.id = q.id"
