@@ -64,11 +64,15 @@ def lengths(summaries: DataFrame) -> DataFrame:
 
 
 def write_index(summaries: DataFrame, path: str, label: str) -> None:
-    """A batch of postings and lengths; a batch that runs again replaces itself."""
+    """A batch of postings and lengths; a batch that runs again replaces itself.
+
+    Rows are ranged by term and then by summary, so a term that stands in most texts fills several tasks and files;
+    inside a file they are sorted, so the bounds of its row groups prune a term or a prefix.
+    """
     bucket = F.substring("term", 1, 1)
     (
         postings(summaries).withColumn("initial", F.concat(F.lit("x"), F.hex(F.encode(bucket, "UTF-8"))))
-        .repartition("initial", "term").sortWithinPartitions("term")
+        .repartitionByRange("initial", "term", "summary_id").sortWithinPartitions("initial", "term", "summary_id")
         .write.mode("overwrite").partitionBy("initial").parquet(f"{path}/postings/batch={label}")
     )
     lengths(summaries).write.mode("overwrite").parquet(f"{path}/lengths/batch={label}")

@@ -210,3 +210,27 @@ def test_prune_is_refused_while_a_run_is_running(spark, tmp_path):
         else:
             kept.write.parquet(target)
             assert [r["id"] for r in spark.read.parquet(target).collect()] == [2] and [r["id"] for r in dead.collect()] == [1]
+
+
+def test_a_term_in_many_texts_fills_several_files(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(4000).select(
+        "id", F.when(n % 5 < 2, "hot").otherwise(F.concat(F.lit("w"), n)).alias("title_local"),
+        F.concat(F.lit("h"), n % 7).alias("summary"), F.lit("").alias("why_it_matters"))
+    path = str(tmp_path / "index")
+    # So few rows would be gathered into one task again; a large index isn't.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        search.write_index(rows, path, "a")
+        search.write_index(rows, path, "a")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    index, sizes = search.read_index(spark, path)
+    hot = index.where("term = 'hot'")
+    files = hot.groupBy(F.input_file_name()).count().collect()
+    assert hot.count() == 1600 and len(files) > 1 and max(f["count"] for f in files) < 1600
+    hits = search.matches(index, search.parse("hot"))
+    assert hits.count() == 1600 and sizes.count() == 4000
+    # A row group knows its least and greatest term, so most files are left out of a search for one prefix.
+    in_order = index.select(F.input_file_name().alias("f"), "term").groupBy("f").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
+    assert in_order.where("lo <= 'w39' AND hi >= 'w39'").count() < in_order.count()
