@@ -37,6 +37,11 @@ def survivor_order() -> list[Column]:
     return [F.desc("weight"), F.asc_nulls_last("published_at"), F.asc("article_id")]
 
 
+def survivor_ties() -> list[Column]:
+    """The same order inside a weight and either dated or undated rows, as `numbered` takes ties."""
+    return [F.col("published_at"), F.col("article_id")]
+
+
 def day_pool(
     summaries: DataFrame, articles: DataFrame, sources: DataFrame, published: DataFrame,
     now: Column, language: str = "en", max_age_days: int = K.MAX_AGE_DAYS,
@@ -82,7 +87,7 @@ def arrangements(pool: DataFrame, keys: list[str], seed: int, passes: int = K.RA
     first = numbered(
         pool, keys, survivor_order(),
         [-F.col("weight"), F.col("published_at").isNull(), F.date_trunc("hour", "published_at")],
-        "ordinal",
+        "ordinal", survivor_ties(),
     ).select(*keys, F.lit(1).alias("pass"), "ordinal", "summary_id")
     shuffled = (
         pool.select(*keys, "summary_id")

@@ -187,15 +187,15 @@ def rebuild_bulletins(runs: DataFrame, ranked: DataFrame) -> tuple[DataFrame, Da
     dated = numbered(
         runs.withColumn("day", local_day(F.col("started_at"))), ["day", "language"],
         [F.asc("started_at"), F.asc("run_id")], [F.date_trunc("minute", "started_at")],
-        "version",
+        "version", [F.col("started_at"), F.col("run_id")],
     )
     numbered_runs = numbered(
         dated.withColumn("_all", F.lit(0)), ["_all"], [F.asc("started_at"), F.asc("run_id")],
-        [F.date_trunc("hour", "started_at")], "id",
+        [F.date_trunc("hour", "started_at")], "id", [F.col("started_at"), F.col("run_id")],
     ).drop("_all")
     places = numbered(
         ranked.where(F.col("rank").isNotNull()), ["run_id"], [F.asc("rank"), F.asc("summary_id")],
-        [F.floor(F.col("rank") / 1024)], "position",
+        [F.floor(F.col("rank") / 1024)], "position", [F.col("rank"), F.col("summary_id")],
     )
     items = places.join(numbered_runs.select("run_id", F.col("id").alias("bulletin_id")), "run_id").select(
         "bulletin_id", "summary_id", "position", band(F.col("position")).alias("tier")

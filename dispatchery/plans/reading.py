@@ -233,7 +233,8 @@ def w2(a):
 def w3(a):
     rows = reading.findings(a.eval_results).withColumn("_all", F.lit(0))
     placed = numbered(rows, ["_all"], [F.desc("created_at"), F.desc("id")],
-                      [-F.unix_seconds(F.date_trunc("day", "created_at"))], "place")
+                      [-F.unix_seconds(F.date_trunc("day", "created_at"))], "place",
+                      [-F.unix_micros("created_at"), -F.col("id")])
     return placed.select("summary_id", F.col("id").alias("eval_id"), F.unix_seconds("created_at").alias("judged_at"),
                          F.col("detail").alias("claim"), "model", "place")
 
@@ -250,7 +251,7 @@ def l1(a):
         a.sources.select(F.col("id").alias("source_id"), "weight"), "source_id")
     return numbered(rows, ["day"], ranking.survivor_order(),
                     [-F.col("weight"), F.col("published_at").isNull(), F.date_trunc("hour", "published_at")],
-                    "place").select("article_id", "day", "place")
+                    "place", ranking.survivor_ties()).select("article_id", "day", "place")
 
 
 @query("l2_reading_order", f"""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dispatchery.operators import ranking
-from dispatchery.operators.numbering import numbered
+from dispatchery.operators.numbering import _cut_ties, numbered
 
 
 def picks_of(spark, days):
@@ -123,3 +123,24 @@ def test_numbering_equals_row_number_with_a_hot_group(spark):
     plain = rows.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(F.asc_nulls_last("w"), F.asc("id"))))
     key = lambda df: {(r["g"], r["id"]): r["position"] for r in df.collect()}
     assert key(got) == key(plain)
+
+
+def test_ties_of_one_value_are_cut_over_many_tasks(spark):
+    """40 % of a day's rows without a time and 30 % at midnight: each hot bucket is cut, positions are those of one window."""
+    from pyspark.sql import Window
+
+    at = F.when(F.col("id") % 10 < 4, None).when(F.col("id") % 10 < 7, F.lit("2025-03-01 00:00:00")).otherwise(
+        F.concat(F.lit("2025-03-01 0"), (F.col("id") % 7).cast("string"), F.lit(":10:00"))).cast("timestamp")
+    rows = spark.range(6000).select((F.col("id") * 7919 % 6007).alias("article_id"), at.alias("published_at"), F.lit(1.0).alias("weight"),
+                                    F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise("d").alias("day"))
+    bucket = [-F.col("weight"), F.col("published_at").isNull(), F.date_trunc("hour", "published_at")]
+    got = numbered(rows, ["day"], ranking.survivor_order(), bucket, "place", ranking.survivor_ties(), hot=200, every=8)
+    plain = rows.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(*ranking.survivor_order())))
+    key = lambda df: sorted((r["day"] or "", r["place"], r["article_id"]) for r in df.collect())
+    assert key(got) == key(plain) and got.columns == plain.select(rows.columns + ["place"]).columns
+    split = rows.withColumns({f"_b{i}": c for i, c in enumerate(bucket)}).withColumn("_tie", F.struct(*ranking.survivor_ties()))
+    parts = _cut_ties(split, ["day", "_b0", "_b1", "_b2"], 200, 8).groupBy("day", "_b0", "_b1", "_b2", "_cut").count()
+    # Buckets of up to 200 rows stay whole; of those above (the largest has over 2000) no part is large.
+    assert parts.agg(F.max("count").alias("n")).first()["n"] <= 200
+    assert parts.where("_cut > 0").agg(F.max("count").alias("n")).first()["n"] <= 80
+    assert numbered(rows.limit(0), ["day"], ranking.survivor_order(), bucket, "place", ranking.survivor_ties()).count() == 0
