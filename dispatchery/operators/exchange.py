@@ -12,6 +12,7 @@ from dispatchery.operators.curation import eligible_corpus
 from dispatchery.operators.numbering import numbered
 from dispatchery.operators.reading import reading_order
 from dispatchery.operators.sampling import hash_sample
+from dispatchery.session import cut
 
 CORPUS_SCHEMA = (
     "article_id bigint, source string, title string, url string, published string, body string, extra string"
@@ -71,24 +72,37 @@ def _offset(name: str, anchor: Column) -> Column:
     return F.when(F.col(name).isNotNull(), seconds_between(F.col(name), anchor)).alias(name)
 
 
+def _written(ids: DataFrame, key: str) -> DataFrame:
+    """A set of ids, written once and parted by `key`, so that several joins by it read it without a shuffle."""
+    return cut(ids.repartition(key))
+
+
 def export_slice(tables: dict[str, DataFrame], bulletins: int = 3) -> dict[str, DataFrame]:
     """The newest bulletins and the rows they need, with times as seconds from the newest publication.
 
     `tables` has bulletins, items, summaries, translations, articles, sources, runs, run_steps,
-    verdicts, eval_results. Every cut is a semi-join, so only ids move.
+    verdicts, eval_results. What decides about rows is written once, parted by id: the chosen
+    bulletins, their items, and the ids of the slice's summaries and articles. Each table is then cut by a
+    semi-join with one of these, so no table is derived again for another one's sake.
     """
-    chosen = tables["bulletins"].orderBy(F.desc("day"), F.desc("version")).limit(bulletins)
+    chosen = cut(tables["bulletins"].orderBy(F.desc("day"), F.desc("version")).limit(bulletins))
     anchor = chosen.agg(F.max("created_at").alias("t")).scalar()
     newest_day = chosen.agg(F.max("day").alias("d")).scalar()
     bulletin_ids = chosen.select(F.col("id").alias("bulletin_id"))
-    items = tables["items"].join(bulletin_ids, "bulletin_id", "left_semi")
+    items = cut(tables["items"].join(bulletin_ids, "bulletin_id", "left_semi"))
+    days = chosen.select("day").distinct().withColumn("_of_day", F.lit(True))
+    out = items.select(F.col("summary_id").alias("id")).distinct().withColumn("_out", F.lit(True))
     spoken = tables["summaries"].join(chosen.select("language").distinct(), "language", "left_semi")
-    of_day = spoken.join(chosen.select("day").distinct(), "day", "left_semi")
-    out = spoken.join(items.select(F.col("summary_id").alias("id")), "id", "left_semi")
-    summaries = of_day.unionByName(out.join(of_day.select("id"), "id", "left_anti"))
-    ids = summaries.select(F.col("id").alias("summary_id"))
-    articles = tables["articles"].join(summaries.select(F.col("article_id").alias("id")), "id", "left_semi")
-    sources = tables["sources"].join(articles.select(F.col("source_id").alias("id")), "id", "left_semi")
+    held = _written(
+        spoken.select("id", "article_id", "day").join(days, "day", "left").join(out, "id", "left")
+        .where("_of_day OR _out").select("id", "article_id"), "id",
+    )
+    summaries = tables["summaries"].join(held.select("id"), "id", "left_semi")
+    ids = held.select(F.col("id").alias("summary_id"))
+    of_held = held.select(F.col("article_id").alias("id")).distinct()
+    origin = _written(tables["articles"].select("id", "source_id").join(of_held, "id", "left_semi"), "id")
+    articles = tables["articles"].join(origin.select("id"), "id", "left_semi")
+    sources = tables["sources"].join(origin.select(F.col("source_id").alias("id")).distinct(), "id", "left_semi")
     run_ids = chosen.select("run_id")
     runs = tables["runs"].join(run_ids.withColumnRenamed("run_id", "id"), "id", "left_semi")
     steps = tables["run_steps"].join(run_ids, "run_id", "left_semi")
@@ -130,19 +144,25 @@ def import_slice(
 ) -> dict[str, DataFrame]:
     """Rows of a slice as they enter another archive: new ids, sources matched by url, times rebased.
 
-    `existing` has sources, articles, summaries, runs and bulletins of the receiving archive.
+    `existing` has sources, articles, summaries, runs and bulletins of the receiving archive. The
+    maps from old to new ids are written once, parted by the old id.
     """
-    known = data["sources"].join(
+    known = data["sources"].select("id", "url").join(
         existing["sources"].select("url", F.col("id").alias("_stored")), "url", "left"
     )
     fresh = known.where("_stored IS NULL")
-    source_ids = new_ids(fresh, existing["sources"]).unionByName(
-        known.where("_stored IS NOT NULL").select(F.col("id").alias("old_id"), F.col("_stored").alias("new_id"))
-    )
-    article_ids = new_ids(data["articles"], existing["articles"])
-    summary_ids = new_ids(data["summaries"], existing["summaries"])
-    bulletin_ids = new_ids(data["bulletins"], existing["bulletins"])
-    run_ids = new_ids(data["runs"], existing["runs"])
+
+    def renamed(rows: DataFrame, stored: DataFrame) -> DataFrame:
+        return _written(new_ids(rows.select("id"), stored), "old_id")
+
+    source_ids = _written(new_ids(fresh, existing["sources"]).withColumn("fresh", F.lit(True)).unionByName(
+        known.where("_stored IS NOT NULL").select(
+            F.col("id").alias("old_id"), F.col("_stored").alias("new_id"), F.lit(False).alias("fresh"))
+    ), "old_id")
+    article_ids = renamed(data["articles"], existing["articles"])
+    summary_ids = renamed(data["summaries"], existing["summaries"])
+    bulletin_ids = renamed(data["bulletins"], existing["bulletins"])
+    run_ids = renamed(data["runs"], existing["runs"])
 
     def remap(df: DataFrame, column: str, ids: DataFrame, how: str = "inner") -> DataFrame:
         mapping = ids.select(F.col("old_id").alias(column), F.col("new_id").alias("_new"))
@@ -161,7 +181,7 @@ def import_slice(
         "day", F.date_format(F.date_add(today, F.col("day_offset")), "yyyy-MM-dd")
     ).drop("day_offset")
     return {
-        "sources": remap(fresh.drop("_stored"), "id", source_ids),
+        "sources": remap(data["sources"], "id", source_ids.where("fresh")),
         # A mark whose target is not in the slice is dropped.
         "articles": rebased(remap(articles, "dup_of", article_ids, "left"), "published_at", "fetched_at"),
         "summaries": rebased(

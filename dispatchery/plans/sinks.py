@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchery import constants as K
@@ -288,6 +290,49 @@ def s12_items(a):
         "bulletin_id", "summary_id", "position", "day")
 
 
+MOVED = f"CAST(epoch(TIMESTAMP '2025-06-01 09:00:00' + ({{}} - {ANCHOR})) AS BIGINT)"
+
+
+@query("s12_import_rows", f"""
+    WITH s AS ({SLICE}),
+      amap AS (SELECT id AS old, (SELECT max(id) FROM articles) + row_number() OVER (ORDER BY id) AS new FROM marked_articles
+        WHERE id IN (SELECT article_id FROM s)),
+      smap AS (SELECT id AS old, (SELECT max(id) FROM summaries) + row_number() OVER (ORDER BY id) AS new FROM s),
+      bmap AS (SELECT id AS old, (SELECT max(id) FROM bulletins) + row_number() OVER (ORDER BY id) AS new FROM {CHOSEN} c),
+      rmap AS (SELECT id AS old, (SELECT max(id) FROM runs) + row_number() OVER (ORDER BY id) AS new FROM runs
+        WHERE id IN (SELECT run_id FROM {CHOSEN} c)),
+      homes AS (SELECT summary_id, arg_max(bulletin_id, b.day || '/' || b.version) AS home FROM items i JOIN bulletins b ON b.id = i.bulletin_id
+        GROUP BY summary_id)
+    SELECT 'summaries' AS part, m.new AS id, n.new AS ref, {MOVED.format("s.created_at")} AS at, md5(s.summary) AS held
+      FROM s JOIN smap m ON m.old = s.id JOIN amap n ON n.old = s.article_id
+    UNION ALL SELECT 'translations', m.new, NULL, NULL, md5(t.summary) FROM translations t JOIN smap m ON m.old = t.summary_id
+    UNION ALL SELECT 'bulletins', m.new, r.new, {MOVED.format("b.created_at")}, b.language
+      FROM {CHOSEN} b JOIN bmap m ON m.old = b.id LEFT JOIN rmap r ON r.old = b.run_id
+    UNION ALL SELECT 'runs', m.new, NULL, {MOVED.format("r.started_at")}, r.kind FROM runs r JOIN rmap m ON m.old = r.id
+    UNION ALL SELECT 'run_steps', m.new, t.stage, {MOVED.format("t.started_at")}, t.node FROM run_steps t JOIN rmap m ON m.old = t.run_id
+    UNION ALL SELECT 'verdicts', m.new, NULL, {MOVED.format("v.created_at")}, v.reason FROM verdicts v JOIN smap m ON m.old = v.summary_id
+    UNION ALL SELECT 'eval_results', m.new, b.new, {MOVED.format("e.created_at")}, e.kind
+      FROM eval_results e JOIN homes h ON h.summary_id = e.summary_id JOIN bmap b ON b.old = h.home LEFT JOIN smap m ON m.old = e.summary_id""")
+def s12_rows(a):
+    """Every other table of a slice with its new ids, what they point at, its moved time and one field of its content."""
+    data = exchange.export_slice(slice_tables(a))
+    got = exchange.import_slice(data, {"sources": a.sources, "articles": a.articles, "summaries": a.summaries, "runs": a.runs,
+                                       "bulletins": a.bulletins}, F.to_timestamp(F.lit("2025-06-01 09:00:00")))
+    none = F.lit(None)
+    shown = {"summaries": ("id", "article_id", "created_at", F.md5("summary")), "translations": ("summary_id", none, none, F.md5("summary")),
+             "bulletins": ("id", "run_id", "created_at", F.col("language")), "runs": ("id", none, "started_at", F.col("kind")),
+             "run_steps": ("run_id", "stage", "started_at", F.col("node")), "verdicts": ("summary_id", none, "created_at", F.col("reason")),
+             "eval_results": ("summary_id", "bulletin_id", "created_at", F.col("kind"))}
+
+    def column(c):
+        return F.col(c) if isinstance(c, str) else c
+
+    parts = [got[part].select(F.lit(part).alias("part"), column(i).cast("bigint").alias("id"), column(ref).cast("bigint").alias("ref"),
+                              F.unix_seconds(column(at).cast("timestamp")).alias("at"), held.alias("held"))
+             for part, (i, ref, at, held) in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 HISTORY = "SELECT run_id, stage AS summary_id, CASE WHEN n_out % 4 <> 0 THEN n_out END AS rank FROM run_steps"
 
 
