@@ -70,3 +70,15 @@ def substrings(texts, size=35):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def simhash(text: str | None) -> int:
+    """The fingerprint of a text, bit by bit."""
+    import re
+
+    import xxhash
+
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))

@@ -139,13 +139,13 @@ def test_bpe(awkward, given):
 
 
 def test_simhash(spark, awkward, given):
-    from dispatchery.llm.simhash import RADIUS, drop_near_duplicates, fingerprint, near_duplicates
+    from dispatchery.llm.simhash import RADIUS, drop_near_duplicates, near_duplicates
 
     words = [f"w{i}" for i in range(300)]
     close = spark.createDataFrame([(i, " ".join(words[:i] + ["new"] + words[i + 1 :])) for i in range(60)], "doc_id long, text string")
     for df in (awkward, given, close):
         rows = texts_of(df)
-        marks = [fingerprint((t or "").encode()) for _, t in rows]
+        marks = [brute.simhash(t) for _, t in rows]
         root = list(range(len(rows)))
         for i in range(len(rows)):
             for j in range(i):
@@ -163,6 +163,48 @@ def test_simhash(spark, awkward, given):
         assert {r.doc_id for r in kept.collect()} >= set(least.values())
 
 
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_simhash_shards_miss_no_pair(parts):
+    """Pairs planted at 0 to 3 bits meet in some shard, whatever the number of parts; with four parts copies stay at four."""
+    from dispatchery.llm.simhash import RADIUS, part_of, shards_of, vantage_points
+
+    draw = np.random.default_rng(parts)
+    first = draw.integers(0, 1 << 64, 60_000, dtype=np.uint64)
+    other = first.copy()
+    for _ in range(RADIUS):
+        other ^= np.uint64(1) << draw.integers(0, 64, len(first), dtype=np.uint64)
+    reach, levels = RADIUS // parts, 7
+    trees = [vantage_points(part_of(first[:5000], part, parts), levels, reach) for part in range(parts)]
+    assert all(len(points) == 127 for points, _ in trees)
+    places = [shards_of(marks, trees, levels, reach) for marks in (first, other)]
+    met = np.intersect1d(*(rows.astype(np.int64) << 32 | nodes for rows, nodes in places)) >> 32
+    assert len(np.unique(met)) == len(first)
+    if parts == 4:
+        assert len(places[0][0]) == 4 * len(first)
+        assert np.unique(places[0][1], return_counts=True)[1].max() < 6 * len(first) / 128
+
+
+def test_simhash_links_equal_all_pairs(spark):
+    """Random fingerprints with chains of close ones, and a ball of 600 within 2 bits of one: the components of all pairs."""
+    from dispatchery.llm.simhash import RADIUS, classes
+    from dispatchery.llm.runs import Run
+
+    draw = np.random.default_rng(5)
+    marks = [int(m) for m in draw.integers(0, 1 << 64, 1500, dtype=np.uint64)]
+    for i in range(700):
+        marks.append(marks[int(draw.integers(len(marks)))] ^ sum(1 << int(b) for b in draw.choice(64, int(draw.integers(1, 4)), False)))
+    marks += [marks[0] ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)][:600]
+    marks = np.unique(np.array(marks, np.uint64))
+    root = np.arange(len(marks))
+    for i in range(len(marks)):
+        for j in np.flatnonzero(np.bitwise_count(marks[:i] ^ marks[i]) <= RADIUS):
+            a, b = sorted((root[i], root[j]))
+            root[root == b] = a
+    df = spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks.view(np.int64))], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in classes(df, Run(spark, "simhash-test"), 50).collect()}
+    assert [got[int(m)] for m in marks.view(np.int64)] == [int(r) for r in root]
+
+
 def test_decontamination(spark):
     from dispatchery.llm.decontamination import contaminated, drop_contaminated, overlaps
 
