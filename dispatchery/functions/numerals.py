@@ -26,12 +26,14 @@ def _value(raw: Column) -> Column:
 
 
 def _canonical(value: Column) -> Column:
-    whole = value == F.floor(value)
+    """Without fraction or exponent where there is none, else up to six places, never with an exponent."""
+    whole = value % F.lit(1.0) == 0  # floor() gives a bigint, too small for the largest figures
+    places = F.rtrim(F.round(value, 6).try_cast("decimal(38,6)").cast("string"), F.lit("0"))
     small = F.abs(value) < F.lit(1e15)
     return (
         F.when(whole & small, value.try_cast("bigint").cast("string"))
         .when(whole, F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value.cast("string")))
-        .otherwise(F.round(value, 6).cast("string"))
+        .otherwise(F.when(F.endswith(places, F.lit(".")), F.concat(places, F.lit("0"))).otherwise(places))
     )
 
 

@@ -29,6 +29,29 @@ def tokens_sql(col: str) -> str:
     return f"list_filter({found}, lambda x: length(x) > 2 AND NOT list_contains([{quoted(K.STOPWORDS)}], x))"
 
 
+# The engines' regexes differ: this one looks at no character before or after a match, so the character before is taken into it.
+GAP = "[ \\t\\n\\x0B\\f\\r]?"
+FIGURE = f"(?:^|[^\\p{{L}}\\p{{N}}_.])([0-9]+(?:[.,][0-9]+)*)(?:{GAP}%?{GAP}([\\p{{L}}_][\\p{{L}}\\p{{N}}_]*))?"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def spelled_sql(value: str) -> str:
+    """A figure's one spelling: no fraction where there is none, else up to six places."""
+    return f"(CASE WHEN {value} = floor({value}) THEN coalesce(CAST(TRY_CAST({value} AS DECIMAL(38, 0)) AS VARCHAR), CAST({value} AS VARCHAR)) ELSE CAST(round({value}, 6) AS VARCHAR) END)"
+
+
+def figures_sql(rows: str, key: str, text: str) -> str:
+    """(key, bare, scaled), one row a figure of the texts in `rows`."""
+    scale = " ".join(f"WHEN '{word}' THEN {float(factor)!r}" for word, factor in K.SCALES.items())
+    return f"""
+      SELECT {key}, {spelled_sql("v")} AS bare, {spelled_sql("v * factor")} AS scaled FROM (
+        SELECT {key}, CAST(CASE WHEN regexp_matches(raw, '^[0-9]+([.,][0-9]{{3}})*$') THEN replace(replace(raw, '.', ''), ',', '')
+            ELSE replace(replace(regexp_extract(raw, '^(.*)[.,][0-9]+$', 1), '.', ''), ',', '') || '.' || regexp_extract(raw, '([0-9]+)$', 1) END
+            AS DOUBLE) AS v, CASE translate(word, '{UPPER}', '{UPPER.lower()}') {scale} END AS factor
+        FROM (SELECT {key}, unnest(regexp_extract_all({text}, '{FIGURE}', 1)) AS raw, unnest(regexp_extract_all({text}, '{FIGURE}', 2)) AS word
+          FROM {rows}) found)"""
+
+
 def stories(a):
     return quality.with_facts(reading.day_stories(a.bulletins, a.items, a.summaries), a.facts)
 
@@ -45,16 +68,22 @@ def light(a):
     return reading.day_stories(a.bulletins, a.items, spread(a.summaries)).withColumn("tags", parse_tags(F.col("tags_json")))
 
 
+BODIES = "SELECT id, coalesce(body_text, '') AS body_text FROM articles"
 FULL = f"SELECT q.bulletin_id, q.position, s.* FROM ({DAY_STORIES}) q JOIN summaries s ON s.id = q.id"
 
 
-@query("f1_numeral_values")
+@query("f1_numeral_values", f"""
+    SELECT b.id, coalesce(array_to_string(list_sort(list_distinct(list_filter(flatten(list([f.bare, f.scaled])), lambda x: x IS NOT NULL))), ','), '')
+      AS numerals
+    FROM ({BODIES}) b LEFT JOIN ({figures_sql(f"({BODIES}) b", "id", "body_text")}) f ON f.id = b.id GROUP BY b.id""")
 def f1(a):
     """The figures of every whole text."""
     return a.bodies.select("id", F.array_join(numeral_values(F.col("body_text")), ",").alias("numerals"))
 
 
-@query("f2_capitalised_tokens")
+@query("f2_capitalised_tokens", f"""
+    SELECT id, array_to_string(list_sort(list_distinct(
+      regexp_extract_all(body_text, '(?:^|[^\\p{{L}}\\p{{N}}_])([A-ZÇĞİÖŞÜ][\\p{{L}}\\p{{N}}_\\-'']+)', 1))), ' ') AS names FROM ({BODIES}) b""")
 def f2(a):
     return a.bodies.select("id", F.array_join(capitalised_tokens(F.col("body_text")), " ").alias("names"))
 

@@ -87,6 +87,9 @@ def test_figures_meet_across_languages(values):
 def test_figure_forms(values):
     got = values(numerals.numeral_values, ["GPT4 and x7", "13 billion", "1.234,5", "1,500", "0.5", "v1.2.3", "3k, 4 km", ""])
     assert got == [[], ["13", "13000000000"], ["1234.5"], ["1500"], ["0.5"], [], ["3", "3000", "4"], []]
+    # Fractions of large and small figures have no exponent.
+    large = values(numerals.numeral_values, ["13149130.89", "1.234.567.890.123,25", "0.00005", "12,3456789", "0.0000001", "7.25 bn", "1" + "0" * 20])
+    assert large == [["13149130.89"], ["1234567890123.25"], ["0.00005"], ["12.345679"], ["0.0"], ["7.25", "7250000000"], ["1" + "0" * 20]]
     assert values(numerals.claimed_values, ["13 billion and 7"]) == [["13000000000", "7"]]
 
 
