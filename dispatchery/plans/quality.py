@@ -52,6 +52,12 @@ def figures_sql(rows: str, key: str, text: str) -> str:
           FROM {rows}) found)"""
 
 
+def values_sql(rows: str, key: str, text: str) -> str:
+    """(key, vals): the figures of each text that has any, bare and scaled."""
+    return f"""SELECT {key}, list_distinct(list_filter(flatten(list([bare, scaled])), lambda x: x IS NOT NULL)) AS vals
+      FROM ({figures_sql(rows, key, text)}) g GROUP BY {key}"""
+
+
 def stories(a):
     return quality.with_facts(reading.day_stories(a.bulletins, a.items, a.summaries), a.facts)
 
@@ -121,7 +127,18 @@ def a16(a):
                         *[r6(f"{f}_share").alias(f"{f}_share") for f in K.WORD_BUDGETS])
 
 
-@query("a17_content_floor")
+FACT_SHARES = f"""round(count(*) FILTER (trim(coalesce(key_fact, '')) <> '') / CAST(count(*) AS DOUBLE), 6) AS key_fact_share,
+      round(count(*) FILTER (trim(coalesce(key_fact, '')) <> '' AND list_has_any({tokens_sql("key_fact")},
+        {tokens_sql("title_local || ' ' || summary")}))
+        / CAST(nullif(count(*) FILTER (trim(coalesce(key_fact, '')) <> ''), 0) AS DOUBLE), 6) AS key_fact_kept"""
+PROSE = "SELECT id, coalesce(summary, '') || ' ' || coalesce(why_it_matters, '') AS prose FROM summaries"
+
+
+@query("a17_content_floor", f"""
+    WITH b AS ({values_sql(f"({BODIES}) t", "id", "body_text")}), p AS ({values_sql(f"({PROSE}) t", "id", "prose")})
+    SELECT bulletin_id, count(*) AS n, {FACT_SHARES}, count(b.vals) AS n_with_numerals,
+      round(count(*) FILTER (list_has_any(p.vals, b.vals)) / CAST(nullif(count(b.vals), 0) AS DOUBLE), 6) AS numeral_recall
+    FROM ({FULL}) q LEFT JOIN b ON b.id = q.article_id LEFT JOIN p ON p.id = q.id GROUP BY bulletin_id""")
 def a17(a):
     found = quality.content_floor(stories(a), KEY)
     return found.select("bulletin_id", "n", r6("key_fact_share").alias("key_fact_share"),
@@ -130,10 +147,7 @@ def a17(a):
 
 
 @query("a17_key_facts", f"""
-    SELECT bulletin_id, round(count(*) FILTER (trim(coalesce(key_fact, '')) <> '') / CAST(count(*) AS DOUBLE), 6) AS key_fact_share,
-      round(count(*) FILTER (trim(coalesce(key_fact, '')) <> '' AND list_has_any({tokens_sql("key_fact")},
-        {tokens_sql("title_local || ' ' || summary")}))
-        / CAST(nullif(count(*) FILTER (trim(coalesce(key_fact, '')) <> ''), 0) AS DOUBLE), 6) AS key_fact_kept
+    SELECT bulletin_id, {FACT_SHARES}
     FROM ({FULL}) q GROUP BY bulletin_id""")
 def a17_facts(a):
     empty = light(a).withColumn("body_numerals", F.array().cast("array<string>"))
@@ -141,7 +155,18 @@ def a17_facts(a):
         "bulletin_id", r6("key_fact_share").alias("key_fact_share"), r6("key_fact_kept").alias("key_fact_kept"))
 
 
-@query("a18_ungrounded_numerals")
+DRESSED = """SELECT id, coalesce(summary || ' Fiyat ' || CAST(id AS VARCHAR) || ' milyon.', '') || ' ' || coalesce(why_it_matters, '') AS prose
+    FROM summaries"""
+PRICED = """SELECT id, coalesce(body_text || ' It cost $' || CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) ELSE '7' END || ' million.', '') AS body
+    FROM articles"""
+
+
+@query("a18_ungrounded_numerals", f"""
+    WITH b AS ({values_sql(f"({PRICED}) t", "id", "body")}),
+      p AS (SELECT id, list_distinct(list(coalesce(scaled, bare))) AS claimed FROM ({figures_sql(f"({DRESSED}) t", "id", "prose")}) g GROUP BY id)
+    SELECT bulletin_id, article_id, array_to_string(list_sort(made), ',') AS numerals FROM (
+      SELECT q.bulletin_id, q.article_id, list_filter(p.claimed, lambda x: NOT list_contains(b.vals, x)) AS made
+      FROM ({FULL}) q JOIN b ON b.id = q.article_id JOIN p ON p.id = q.id) m WHERE len(made) > 0""")
 def a18(a):
     """Every story with a figure added to its summary that only every other body holds."""
     n = F.col("id").cast("string")
@@ -150,7 +175,7 @@ def a18(a):
     dressed = reading.day_stories(a.bulletins, a.items, a.summaries).withColumn(
         "summary", F.concat(F.col("summary"), F.lit(" Fiyat "), n, F.lit(" milyon.")))
     rows = quality.story_rows(dressed, bodies)
-    return quality.ungrounded_numerals(rows, KEY).withColumn("numerals", F.array_join("numerals", ","))
+    return quality.ungrounded_numerals(rows, KEY).withColumn("numerals", F.array_join(F.array_sort("numerals"), ","))
 
 
 USES = f"""
