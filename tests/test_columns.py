@@ -164,3 +164,14 @@ def test_whole_texts(values):
 
 def test_notes(values):
     assert values(lambda c: text.note_parts(c)["k"], ['{"k":"dedupe","dropped":7}', "{broken", "timeout"]) == ["dedupe", None, None]
+
+
+def test_large_whole_figures_keep_all_digits(values):
+    """A whole figure is spelled as the double it is, not as its first 16 digits and zeros."""
+    from dispatchery.functions.numerals import numeral_values
+
+    texts = ["9223372036854775808", "36893488147419103232 units", "1267650600228229401496703205376", "9007199254740993 million", "4041894974608795", "99999999999999999999999999999999999999999"]
+    assert values(numeral_values, ["2819685903112.4897"]) == [["2819685903112.4897"]]
+    got = values(numeral_values, texts)
+    assert got[:3] == [["9223372036854775808"], ["36893488147419103232"], [str(2**100)]]
+    assert got[3] == sorted([str(2**53), str(int(float(2**53) * 1e6))]) and got[4] == ["4041894974608795"] and got[5] == ["1.0E41"]
