@@ -6,6 +6,7 @@ search reads the postings of the terms it can match and nothing else.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -17,6 +18,7 @@ from dispatchery.operators.reading import valid_translations
 FIELDS = ("title_local", "summary", "why_it_matters")
 # The ranking function's constants.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
+PROSE = 8_000_000  # characters of prose whose postings one task holds
 
 
 def _folding() -> tuple[str, str]:
@@ -48,6 +50,24 @@ def terms(col: Column) -> Column:
     return F.regexp_extract_all(folded(col), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+def tasks(summaries: DataFrame) -> int:
+    """Tasks that share the postings: every core, and as many more as the prose needs."""
+    letters = sum((F.coalesce(F.length(f), F.lit(0)) for f in FIELDS), F.lit(0))
+    total = summaries.agg(F.sum(letters.cast("bigint")).alias("letters")).head()["letters"] or 0
+    return max(summaries.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PROSE))
+
+
+def dealt(summaries: DataFrame) -> DataFrame:
+    """Summaries by id over those tasks, so that whatever is counted inside a summary is counted in its task."""
+    return summaries.repartition(tasks(summaries), "id")
+
+
+def uses(summaries: DataFrame) -> DataFrame:
+    """(term, uses, summaries): how often a term stands anywhere, and in how many summaries."""
+    once = postings(dealt(summaries)).groupBy("summary_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("term").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("summaries"))
+
+
 def postings(summaries: DataFrame) -> DataFrame:
     """(summary_id, field, pos, term): one row a word."""
     fields = F.array(*[
@@ -70,9 +90,10 @@ def write_index(summaries: DataFrame, path: str, label: str) -> None:
     inside a file they are sorted, so the bounds of its row groups prune a term or a prefix.
     """
     bucket = F.substring("term", 1, 1)
+    wide = tasks(summaries)
     (
-        postings(summaries).withColumn("initial", F.concat(F.lit("x"), F.hex(F.encode(bucket, "UTF-8"))))
-        .repartitionByRange("initial", "term", "summary_id").sortWithinPartitions("initial", "term", "summary_id")
+        postings(summaries.repartition(wide, "id")).withColumn("initial", F.concat(F.lit("x"), F.hex(F.encode(bucket, "UTF-8"))))
+        .repartitionByRange(wide, "initial", "term", "summary_id").sortWithinPartitions("initial", "term", "summary_id")
         .write.mode("overwrite").partitionBy("initial").parquet(f"{path}/postings/batch={label}")
     )
     lengths(summaries).write.mode("overwrite").parquet(f"{path}/lengths/batch={label}")

@@ -234,3 +234,14 @@ def test_a_term_in_many_texts_fills_several_files(spark, tmp_path):
     # A row group knows its least and greatest term, so most files are left out of a search for one prefix.
     in_order = index.select(F.input_file_name().alias("f"), "term").groupBy("f").agg(F.min("term").alias("lo"), F.max("term").alias("hi"))
     assert in_order.where("lo <= 'w39' AND hi >= 'w39'").count() < in_order.count()
+
+
+def test_postings_tasks_grow_with_the_prose(spark, monkeypatch):
+    """No task holds the postings of more than a fixed amount of prose, whatever the cores; counts stay the same."""
+    from dispatchery.operators import search
+
+    rows = spark.createDataFrame([(i, f"word{i % 3}", "word0 again", "again") for i in range(40)], "id bigint, title_local string, summary string, why_it_matters string")
+    expected = {("again", 80, 40), ("word0", 54, 40), ("word1", 13, 13), ("word2", 13, 13)}
+    monkeypatch.setattr(search, "PROSE", 25)
+    assert search.tasks(rows) == 34 and search.dealt(rows).rdd.getNumPartitions() == 34
+    assert {tuple(r) for r in search.uses(rows).collect()} == expected
