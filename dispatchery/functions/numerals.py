@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from dispatchery import constants as K
 
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 _FIGURE = (
-    r"(?i)(?<![\p{L}\p{N}_.])[$€£₺%]?\s?([0-9]+(?:[.,][0-9]+)*)\s?%?"
+    r"(?i)(?<![\p{L}\p{N}_.])[$€£₺%]?\s?(" + _NUMBER + r")\s?%?"
     r"(?:\s?(" + "|".join(sorted(K.SCALES, key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}_]))?"
 )
 
@@ -54,30 +55,40 @@ def _canonical(value: Column) -> Column:
 def figures(text: Column) -> Column:
     """array<struct<bare, scaled>> in text order; `scaled` is null without a scale word."""
     body = F.coalesce(text, F.lit(""))
-    numbers = F.regexp_extract_all(body, F.lit(_FIGURE), F.lit(1))
-    scales = F.regexp_extract_all(body, F.lit(_FIGURE), F.lit(2))
+    # A text is searched once, and only where it has a digit; a match is then taken apart, and its value computed once.
+    found = F.when(F.rlike(body, F.lit("[0-9]")), F.regexp_extract_all(body, F.lit(_FIGURE), F.lit(0)))
     factors = F.create_map(*[F.lit(x) for kv in K.SCALES.items() for x in (kv[0], float(kv[1]))])
 
-    def pair(number: Column, scale: Column) -> Column:
-        value = _value(number)
-        factor = F.element_at(factors, F.lower(scale))
+    def parsed(match: Column) -> Column:
         return F.struct(
-            _canonical(value).alias("bare"),
-            F.when(scale != "", _canonical(value * factor)).alias("scaled"),
+            _value(F.regexp_extract(match, _NUMBER, 0)).alias("value"),
+            F.regexp_replace(match, rf"^[$€£₺%]?\s?{_NUMBER}\s?%?\s?", "").alias("scale"),
         )
 
-    return F.zip_with(numbers, scales, pair)
+    def pair(figure: Column) -> Column:
+        factor = F.element_at(factors, F.lower(figure["scale"]))
+        return F.struct(
+            _canonical(figure["value"]).alias("bare"),
+            F.when(figure["scale"] != "", _canonical(figure["value"] * factor)).alias("scaled"),
+        )
 
+    return F.transform(F.transform(F.coalesce(found, F.array().cast("array<string>")), parsed), pair)
 
-def numeral_values(text: Column) -> Column:
-    """Every figure, bare, and scaled as well where a scale word follows; sorted."""
-    found = figures(text)
+
+def values_of(found: Column) -> Column:
+    """Every one of `figures`, bare, and scaled as well where a scale word follows; sorted."""
     both = F.flatten(F.transform(found, lambda f: F.array(f["bare"], f["scaled"])))
     return F.array_sort(F.array_distinct(F.filter(both, lambda v: v.isNotNull())))
 
 
+def claims_of(found: Column) -> Column:
+    """What `figures` claim: the scaled value where there is one, else the bare one."""
+    return F.array_distinct(F.transform(found, lambda f: F.coalesce(f["scaled"], f["bare"])))
+
+
+def numeral_values(text: Column) -> Column:
+    return values_of(figures(text))
+
+
 def claimed_values(text: Column) -> Column:
-    """What a text claims: the scaled value where there is one, else the bare one."""
-    return F.array_distinct(
-        F.transform(figures(text), lambda f: F.coalesce(f["scaled"], f["bare"]))
-    )
+    return claims_of(figures(text))

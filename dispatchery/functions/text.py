@@ -38,7 +38,7 @@ def words(col: Column) -> Column:
 
 
 def word_count(col: Column) -> Column:
-    return F.size(words(col))
+    return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(r"[^\s\p{Z}]+"))
 
 
 def literal_array(values) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchery import constants as K
-from dispatchery.functions.numerals import claimed_values, numeral_values
+from dispatchery.functions.numerals import claimed_values, claims_of, numeral_values, values_of
+from dispatchery.functions.numerals import figures as figures_in
 from dispatchery.functions.text import (
     capitalised_tokens, content_tokens, first_chars, literal_array, parse_tags, present, word_count,
 )
@@ -63,10 +64,11 @@ def fact_kept() -> Column:
     return F.arrays_overlap(content_tokens(F.col("key_fact")), written)
 
 
-def invented() -> Column:
+def invented(claims: Column | None = None) -> Column:
     """Figures a story claims that its body does not hold; empty where the body has none."""
+    claims = claimed_values(prose()) if claims is None else claims
     return F.when(
-        F.size("body_numerals") > 0, F.array_except(claimed_values(prose()), F.col("body_numerals"))
+        F.size("body_numerals") > 0, F.array_except(claims, F.col("body_numerals"))
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -79,16 +81,21 @@ def word_budget(stories: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def content_floor(stories: DataFrame, keys: list[str]) -> DataFrame:
-    marked = stories.select(
-        *keys,
+def content_marks(stories: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and what the content floor found in each story; as with `story_marks`, none of it depends on the bulletin."""
+    return stories.select(
+        *keep,
         present(F.col("key_fact")).alias("fact"),
         F.coalesce(fact_kept(), F.lit(False)).alias("kept"),
         (F.size("body_numerals") > 0).alias("figured"),
         F.arrays_overlap(numeral_values(prose()), F.col("body_numerals")).alias("recalled"),
     )
+
+
+def content_of(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """The content floor of groups of marked stories."""
     n, facts, figured = F.count(F.lit(1)), F.count_if("fact"), F.count_if("figured")
-    return marked.groupBy(*keys).agg(
+    return marks.groupBy(*keys).agg(
         n.alias("n"),
         share(facts, n).alias("key_fact_share"),
         rate(F.count_if(F.col("fact") & F.col("kept")), facts).alias("key_fact_kept"),
@@ -97,6 +104,10 @@ def content_floor(stories: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def content_floor(stories: DataFrame, keys: list[str]) -> DataFrame:
+    return content_of(content_marks(stories, keys), keys)
+
+
 def ungrounded_numerals(stories: DataFrame, keys: list[str]) -> DataFrame:
     return stories.withColumn("numerals", invented()).where(F.size("numerals") > 0).select(
         *keys, "article_id", "numerals"
@@ -139,11 +150,11 @@ def story_marks(stories: DataFrame, keep: list[str]) -> DataFrame:
 
     None of it depends on the bulletin, so marks may be taken of summaries before they meet the bulletins of
     their day: two versions of a day then share one reading of the prose."""
-    return stories.select(
-        *keep, "article_id", "tags", invented().alias("_invented"),
+    return stories.withColumn("_figures", figures_in(prose())).select(
+        *keep, "article_id", "tags", invented(claims_of(F.col("_figures"))).alias("_invented"),
         present(F.col("key_fact")).alias("_fact"), F.coalesce(fact_kept(), F.lit(False)).alias("_kept"),
         (F.size("body_numerals") > 0).alias("_figured"),
-        F.arrays_overlap(numeral_values(prose()), F.col("body_numerals")).alias("_recalled"),
+        F.arrays_overlap(values_of(F.col("_figures")), F.col("body_numerals")).alias("_recalled"),
         *[over_budget(f).alias(f"_{f}") for f in K.WORD_BUDGETS],
     )
 

@@ -13,7 +13,7 @@ from dispatchery.operators import quality, reading, sampling
 from dispatchery.plans.reading import DAY_STORIES, r6
 from dispatchery.plans.registry import query
 from dispatchery.plans.views_sql import quoted, scatter_sql
-from dispatchery.session import ensure_checkpoint_dir, spread
+from dispatchery.session import cut, ensure_checkpoint_dir, spread
 from dispatchery.sources.publications import Publications
 
 KEY = ["bulletin_id"]
@@ -58,13 +58,14 @@ def values_sql(rows: str, key: str, text: str) -> str:
       FROM ({figures_sql(rows, key, text)}) g GROUP BY {key}"""
 
 
-def stories(a):
-    return quality.with_facts(reading.day_stories(a.bulletins, a.items, a.summaries), a.facts)
+def marked_summaries(a, mark=quality.story_marks):
+    """What a check found in each summary: narrow, and written once, so that prose is read once however many bulletins and joins use it."""
+    return cut(mark(quality.with_facts(spread(a.summaries), a.facts), ["id", "day", "language"]))
 
 
-def marks(a, bulletins=None):
+def marks(a, bulletins=None, marked=None):
     """Marked stories of bulletins; a summary is marked once, not once a bulletin that shows it."""
-    marked = quality.story_marks(quality.with_facts(spread(a.summaries), a.facts), ["id", "day", "language"])
+    marked = marked_summaries(a) if marked is None else marked
     return reading.day_stories(a.bulletins if bulletins is None else bulletins, a.items, marked)
 
 
@@ -140,7 +141,8 @@ PROSE = "SELECT id, coalesce(summary, '') || ' ' || coalesce(why_it_matters, '')
       round(count(*) FILTER (list_has_any(p.vals, b.vals)) / CAST(nullif(count(b.vals), 0) AS DOUBLE), 6) AS numeral_recall
     FROM ({FULL}) q LEFT JOIN b ON b.id = q.article_id LEFT JOIN p ON p.id = q.id GROUP BY bulletin_id""")
 def a17(a):
-    found = quality.content_floor(stories(a), KEY)
+    marked = marked_summaries(a, quality.content_marks)
+    found = quality.content_of(reading.day_stories(a.bulletins, a.items, marked), KEY)
     return found.select("bulletin_id", "n", r6("key_fact_share").alias("key_fact_share"),
                         r6("key_fact_kept").alias("key_fact_kept"), "n_with_numerals",
                         r6("numeral_recall").alias("numeral_recall"))
@@ -226,11 +228,12 @@ def a21(a):
 @query("a21_stored_or_computed")
 def a21_stored(a):
     """The checks of even bulletins are frozen in a publication first; those of the others are computed."""
-    even = quality.checks_of(marks(a, a.bulletins.where("id % 2 = 0")), KEY)
+    marked = marked_summaries(a)
+    even = quality.checks_of(marks(a, a.bulletins.where("id % 2 = 0"), marked), KEY)
     shelf = Publications(a.spark, f"{ensure_checkpoint_dir(a.spark)}/frozen-{uuid.uuid4().hex}")
     shelf.commit("even", {"checks": even})
     wanted = a.bulletins.select(F.col("id").alias("bulletin_id"))
-    both = quality.stored_or_computed(wanted, shelf.read("checks", even.schema), marks(a))
+    both = quality.stored_or_computed(wanted, shelf.read("checks", even.schema), marks(a, marked=marked))
     return flat_checks(both, "at_publish")
 
 

@@ -148,3 +148,12 @@ def test_samples_repeat_and_prefer_published(spark):
     assert draw(1, 5) == draw(1, 5) != draw(2, 5)
     assert {(i % 2, i) for i in range(6)} <= draw(1, 5) and len(draw(1, 5)) == 10
     assert all(i < 6 for _, i in draw(1, 2)) and len(draw(1, 2)) == 4
+
+
+@pytest.mark.parametrize("name", ["a17_content_floor", "a21_stored_or_computed"])
+def test_prose_is_read_once(spark, archive, name):
+    """What a check found in a summary is written before the bulletins of its day meet it; nothing after reads prose again."""
+    from dispatchery.plans import load
+
+    plan = load().queries[name](spark, archive.folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
