@@ -11,6 +11,7 @@ from dispatchery.functions.text import present, strip
 from dispatchery.operators.curation import days, insert_if_absent
 from dispatchery.operators.numbering import numbered
 from dispatchery.operators.ranking import band
+from dispatchery.session import cut
 
 
 def sync_sources(sources: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -184,15 +185,16 @@ def rebuild_bulletins(runs: DataFrame, ranked: DataFrame) -> tuple[DataFrame, Da
     `runs` (run_id, language, started_at) that wrote summaries; `ranked` (run_id, summary_id, rank).
     Versions count up inside a local day and language; ids follow the start of the runs.
     """
-    dated = numbered(
-        runs.withColumn("day", local_day(F.col("started_at"))), ["day", "language"],
+    # Each numbering reads its rows several times, so the one before is not left for it to repeat.
+    dated = cut(numbered(
+        cut(runs.withColumn("day", local_day(F.col("started_at")))), ["day", "language"],
         [F.asc("started_at"), F.asc("run_id")], [F.date_trunc("minute", "started_at")],
         "version", [F.col("started_at"), F.col("run_id")],
-    )
-    numbered_runs = numbered(
+    ))
+    numbered_runs = cut(numbered(
         dated.withColumn("_all", F.lit(0)), ["_all"], [F.asc("started_at"), F.asc("run_id")],
         [F.date_trunc("hour", "started_at")], "id", [F.col("started_at"), F.col("run_id")],
-    ).drop("_all")
+    ).drop("_all"))
     places = numbered(
         ranked.where(F.col("rank").isNotNull()), ["run_id"], [F.asc("rank"), F.asc("summary_id")],
         [F.floor(F.col("rank") / 1024)], "position", [F.col("rank"), F.col("summary_id")],

@@ -345,10 +345,11 @@ HISTORY = "SELECT run_id, stage AS summary_id, CASE WHEN n_out % 4 <> 0 THEN n_o
     FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank, summary_id) AS position FROM ({HISTORY}) x WHERE rank IS NOT NULL) h
     JOIN r USING (run_id)""")
 def s13(a):
-    runs = a.runs.join(a.run_steps.select(F.col("run_id").alias("id")), "id", "left_semi").select(
+    # The steps are read by every level of the numbering, so they are told from their repeats once.
+    history = cut(a.run_steps.select("run_id", F.col("stage").alias("summary_id"),
+                                     F.when(F.col("n_out") % 4 != 0, F.col("n_out")).alias("rank")))
+    runs = a.runs.join(history.select(F.col("run_id").alias("id")), "id", "left_semi").select(
         F.col("id").alias("run_id"), F.lit("en").alias("language"), "started_at")
-    history = a.run_steps.select("run_id", F.col("stage").alias("summary_id"),
-                                 F.when(F.col("n_out") % 4 != 0, F.col("n_out")).alias("rank"))
     bulletins, items = sinks.rebuild_bulletins(runs, history)
     return items.join(bulletins.select(F.col("id").alias("bulletin_id"), "day", "version"), "bulletin_id").select(
         "bulletin_id", "day", "version", "summary_id", "position", "tier")

@@ -245,3 +245,11 @@ def test_postings_tasks_grow_with_the_prose(spark, monkeypatch):
     monkeypatch.setattr(search, "PROSE", 25)
     assert search.tasks(rows) == 34 and search.dealt(rows).rdd.getNumPartitions() == 34
     assert {tuple(r) for r in search.uses(rows).collect()} == expected
+
+
+def test_rebuild_reads_its_history_once(spark, archive):
+    """Every level of the numbering reads the steps and runs again, so they are written before; no level goes back to the tables."""
+    from dispatchery.plans import load
+
+    plan = load().queries["s13_rebuild"](spark, archive.folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [" not in plan
